@@ -76,10 +76,6 @@ def _pow10(n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(10**i).cast("long") for i in range(19)]), n + 1)
 
 
-def _as_long(x: Column) -> Column:
-    return F.coalesce(F.try_to_number(x, F.lit("9" * 18)).cast("long"), F.lit(0).cast("long"))
-
-
 def _half(x: Column) -> Column:
     return F.when(F.length(x) == 0, F.lit(0).cast("long")).otherwise(x.cast("long"))
 
@@ -100,9 +96,9 @@ def describe(e: Column) -> Column:
 def _prepare(s: Column) -> Column:
     """head (kept as it is), body (replaced), canon (what the surrogate depends on)."""
     kind, e = s["kind"], s["e"]
-    secret_head = F.regexp_extract(e, F.lit(r"^([^=:]*[=:][ ]*\"?)"), F.lit(1))
-    country = F.regexp_extract(e, F.lit(r"^(\+[0-9]{1,3}(?=[^0-9]))"), F.lit(1))
-    title = F.regexp_extract(e, F.lit(r"^([^ ]+ )"), F.lit(1))
+    secret_head = F.regexp_extract(e, r"^([^=:]*[=:][ ]*\"?)", 1)
+    country = F.regexp_extract(e, r"^(\+[0-9]{1,3}(?=[^0-9]))", 1)
+    title = F.regexp_extract(e, r"^([^ ]+ )", 1)
     head = F.when(kind == "secret", secret_head).when(kind == "phone", country).when(kind == "iban", F.substring(e, 1, 4)).when(kind == "name", title).otherwise(F.lit(""))
     return F.struct(kind.alias("kind"), head.alias("head"), e.alias("e"))
 
@@ -144,6 +140,10 @@ def _round(s: Column, key: str, i: int) -> Column:
     return F.struct(*rest, (moved if left else s["l"]).alias("l"), (s["r"] if left else moved).alias("r"))
 
 
+def _rounds(key: str, i: int):
+    return lambda s: _round(s, key, i)
+
+
 def _luhn(num: Column, start: int) -> Column:
     """The Luhn sum of a digit string; start 1: its last digit counts double, as before a check digit."""
     places = F.sequence(F.lit(0), F.length(num) - 1)
@@ -230,7 +230,7 @@ def surrogates(found: Column, key: str = KEY, attempts: Column | None = None, sp
     for step in (_prepare, _bodied, _canonical):
         x = F.transform(x, step)
     for i in range(6):
-        x = F.transform(x, lambda s, i=i: _round(s, key, i))
+        x = F.transform(x, _rounds(key, i))
     x = F.transform(x, _permuted)
 
     def last(s: Column) -> Column:
