@@ -49,7 +49,7 @@ def _released(kept: Column, mask: Column, settings: Settings) -> Column:
     if settings.mi == 0:
         return F.get(kept, 0)
     n = F.size(kept)
-    at = F.pmod(F.lit(settings.query_hash).cast("decimal(20,0)"), n.cast("decimal(20,0)")).cast("int")
+    at = F.pmod(F.lit(str(settings.query_hash)).cast("decimal(20,0)"), n.cast("decimal(20,0)")).cast("int")
     delta = _variance(kept) / (2 * settings.mi)
     noise = _let(delta, lambda d: F.when((d > 0) & ~F.isnan(d) & (d < F.lit(float("inf"))), F.sqrt(d) * _normal(settings, mask)).otherwise(F.lit(0.0)))
     return F.get(kept, at) + noise

@@ -11,11 +11,16 @@ class Catalyst:
     def __init__(self, spark: SparkSession):
         self.spark, self.jvm = spark, spark._jvm
         self._utils = self.jvm.org.apache.spark.sql.classic.ExpressionUtils
-        converter = "org.apache.spark.sql.classic.ColumnNodeToExpressionConverter$"
-        self._to_expression = getattr(self.jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(converter).getField("MODULE$"), "get")(None)
+        self._to_expression = self._object("org.apache.spark.sql.classic.ColumnNodeToExpressionConverter")
+        self._attribute_map = self._object("org.apache.spark.sql.catalyst.expressions.AttributeMap")
         self._logical = self.jvm.org.apache.spark.sql.catalyst.plans.logical
         self._expr = self.jvm.org.apache.spark.sql.catalyst.expressions
 
+    def _object(self, name: str):
+        """A Scala object."""
+        loader = self.jvm.java.lang.Thread.currentThread().getContextClassLoader()
+        return loader.loadClass(name + "$").getField("MODULE$").get(None)
+
     def plan(self, df: DataFrame):
         return df._jdf.queryExecution().analyzed()
 
@@ -49,10 +54,15 @@ class Catalyst:
     def filter(self, condition, child):
         return self._logical.Filter(condition, child)
 
-    def renamed(self, expr, named):
-        """expr under the name and id of `named`, so that nodes above still find it."""
-        empty = self.jvm.scala.Option.empty()
-        return self._expr.Alias(expr, named.name(), named.exprId(), named.qualifier(), empty, self.seq([]))
+    def renamed(self, expr, named, fresh: bool = False):
+        """expr under the name and id of `named`, so that nodes above still find it; or under a fresh id."""
+        number = self._expr.NamedExpression.newExprId() if fresh else named.exprId()
+        return self._expr.Alias(expr, named.name(), number, named.qualifier(), self.jvm.scala.Option.empty(), self.seq([]))
+
+    def with_attributes(self, plan, moved: list[tuple]):
+        """The node's own expressions with attributes in place of others."""
+        pairs = self.seq(self.jvm.scala.Tuple2(a, b) for a, b in moved)
+        return plan.rewriteAttrs(self._attribute_map.apply(pairs))
 
     def replace(self, expr, found: Callable[[object], object | None]):
         """expr with the first node on each branch for which `found` gives another one replaced."""

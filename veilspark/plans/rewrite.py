@@ -25,6 +25,7 @@ class Rewriter:
     def __init__(self, spark: SparkSession, registry: Registry, settings: Settings = Settings()):
         self.spark, self.registry, self.settings = spark, registry, settings
         self.c, self.checker = Catalyst(spark), Checker(spark, registry)
+        self._moved: list[tuple] = []  # attributes that have another id above a private aggregate
 
     def rewrite(self, df: DataFrame) -> DataFrame:
         return self.c.frame(self._plan(self.c.plan(df)))
@@ -55,6 +56,7 @@ class Rewriter:
         new = [self._plan(k) for k in kids]
         if any(a is not b for a, b in zip(kids, new, strict=True)):
             plan = self.c.with_children(plan, new)
+            plan = self.c.with_attributes(plan, self._moved) if self._moved else plan
         return self._voted(plan) if plan.nodeName() == "Filter" else plan
 
     # --- the key's hash ---
@@ -108,11 +110,16 @@ class Rewriter:
         at = [F.col(f"`{c}`") for c in path[0].columns]
         for i, link in enumerate(path[:-1]):
             ahead = path[i + 1].columns
-            other = self.spark.table(link.table).select(*[F.col(f"`{r}`").alias(f"__r{n}_{i}_{k}") for k, r in enumerate(link.referenced)], *[F.col(f"`{a}`").alias(f"__n{n}_{i}_{k}") for k, a in enumerate(ahead)])
+            other = self._fresh(link.table).select(*[F.col(f"`{r}`").alias(f"__r{n}_{i}_{k}") for k, r in enumerate(link.referenced)], *[F.col(f"`{a}`").alias(f"__n{n}_{i}_{k}") for k, a in enumerate(ahead)])
             df = df.join(other, [a == F.col(f"__r{n}_{i}_{k}") for k, a in enumerate(at)])
             at = [F.col(f"__n{n}_{i}_{k}") for k in range(len(ahead))]
         return df, at
 
+    def _fresh(self, table: str) -> DataFrame:
+        """The table under attribute ids of its own: the query may read it, too, and must keep its ids."""
+        t = self.spark.table(table)
+        return self.c.frame(self.c.children(self.c.plan(t.crossJoin(t)))[1])  # never run: only how the right side is named
+
     def _keyed_group(self, plan):
         """An aggregate that groups by a unit's key has the key in its rows."""
         known = self.checker.origins(plan)
@@ -216,8 +223,11 @@ class Rewriter:
                 col = noised(F.transform(self._in_worlds(bare, nodes, aggs, groups), lambda x: x.cast("double")), self.settings).cast(kind)
             else:
                 col = self.c.column(self.c.replace(bare, lambda x: next((self.c.expression(F.col(f"__g{i}")) for i, g in enumerate(groups) if x.semanticEquals(g)), None)))
-            outs.append(self.c.renamed(self.c.expression(col), e))
-        return self.c.plan(self.c.frame(self.c.project(outs, self.c.plan(lists))))
+            outs.append(self.c.renamed(self.c.expression(col), e, fresh=e.nodeName() != "Alias"))
+        new = self.c.plan(self.c.frame(self.c.project(outs, self.c.plan(lists))))
+        pairs = zip(self.c.list(plan.aggregateExpressions()), self.c.list(new.output()), strict=True)
+        self._moved += [(e, a) for e, a in pairs if e.nodeName() != "Alias"]
+        return new
 
     # --- comparisons with private subqueries ---
 
