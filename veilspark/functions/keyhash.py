@@ -51,7 +51,7 @@ def mixed_units(*hashes: Column, conjunctive: bool = False) -> Column:
     """One hash for several units: XOR keeps each world at probability one half; AND is the narrower alternative."""
     out = hashes[0]
     for h in hashes[1:]:
-        out = out.bitwiseAND(h) if conjunctive else out.bitwiseXOR(F.xxhash64(h))
+        out = out.bitwiseAND(h) if conjunctive else out.bitwiseXOR(F.when(h.isNotNull(), F.xxhash64(h)))
     return out
 
 
