@@ -89,6 +89,20 @@ class Catalyst:
             for s in self.subqueries(p):
                 yield from self.whole(s.plan())
 
+    def with_expressions(self, plan, change: Callable):
+        """The node with its own expressions changed; of the nodes that a parsed query has."""
+        kind, logical = plan.nodeName(), self._logical
+        if kind == "Project":
+            return self.project([change(e) for e in self.list(plan.projectList())], plan.child())
+        if kind == "Filter":
+            return self.filter(change(plan.condition()), plan.child())
+        if kind == "UnresolvedHaving":
+            return self.jvm.org.apache.spark.sql.catalyst.analysis.UnresolvedHaving(change(plan.havingCondition()), plan.child())
+        if kind == "Aggregate":
+            groups = [change(e) for e in self.list(plan.groupingExpressions())]
+            return logical.Aggregate(self.seq(groups), self.seq(change(e) for e in self.list(plan.aggregateExpressions())), plan.child(), plan.hint())
+        return plan
+
     def conjuncts(self, expr) -> list:
         if expr.nodeName() == "And":
             return [c for k in self.children(expr) for c in self.conjuncts(k)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from veilspark.functions.keyhash import Settings
 from veilspark.operators.diff import Utility, summarise, utility_diff
 from veilspark.plans import ddl
 from veilspark.plans.admission import Checker, RejectedQuery
+from veilspark.plans.names import Names
 from veilspark.plans.policy import Registry, read_unit_list
 from veilspark.plans.rewrite import Rewriter
 
@@ -38,7 +40,7 @@ class PrivateSession:
     def sql(self, text: str) -> DataFrame:
         s = ddl.parse(text, self._columns)
         if s is None:
-            return self.frame(self.spark.sql(text))
+            return self._named(text) if re.search(r"\bpac_\w+\s*\(", text, re.I) else self.frame(self.spark.sql(text))
         if s.setting:
             self.set(*s.setting)
         elif s.pragma:
@@ -73,6 +75,15 @@ class PrivateSession:
         self.last_utility = summarise(out, keys, path)
         return out
 
+    def _named(self, text: str) -> DataFrame:
+        """A query that calls pac_ functions itself: left as it is, if it reads a unit, a table linked to one, or no policy's table."""
+        df = Names(self.spark, self.settings).query(text)
+        found = Checker(self.spark, self.registry)
+        tables = found.tables(df._jdf.queryExecution().analyzed())
+        if self.registry.units and tables and not any(self.registry.get(t).is_unit or self.registry.paths(t) for t in tables):
+            raise RejectedQuery("a query that calls pac_ functions must read a privacy unit or a table linked to one")
+        return df
+
     def set(self, name: str, value: str) -> None:
         on = value.lower() in ("true", "1", "on")
         if name == "pac_mi":
