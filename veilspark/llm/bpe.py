@@ -110,7 +110,7 @@ class Encoder:
         self.v = Vocabulary(ranks)
         self.match = regex.compile(pattern)
         self.words = Memo(self._word, remembered // 4)
-        self.chunks = Memo(self._chunk, remembered)
+        self.chunks = Memo(lambda c: self._joined(" " + c), remembered)  # ids of what follows a cut
 
     def _word(self, word: bytes) -> list[int]:
         whole = self.v.ranks.get(word)
@@ -119,18 +119,18 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return [i for m in self.match.findall(text) for i in self.words[m.encode("utf-8", "replace")]]
 
-    def _chunk(self, chunk: str) -> tuple[int, str, bytes]:
-        ids = self._ids(chunk)
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+    def _joined(self, text: str) -> str:
+        return ",".join(map(str, self._ids(text)))
 
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
-        """Token count, ids and decoded bytes of each piece between cuts, in order."""
+    def joined(self, text: str) -> str:
+        """The ids of a text as decimal numbers joined by commas."""
         first, *rest = _CUT.split(text)
-        chunks = self.chunks
-        return [chunks[c] for c in ([first] if first else []) + [" " + c for c in rest]]
+        parts = list(map(self.chunks.__getitem__, rest))
+        return ",".join([self._joined(first), *parts] if first else parts)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) if ids for i in ids.split(",")]
+        ids = self.joined(text)
+        return list(map(int, ids.split(","))) if ids else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, ids))
@@ -150,16 +150,17 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
 
     def run(batches):
         encoder = Encoder(read_ranks(blob.value), pattern)
+        named = {str(i): t for i, t in encoder.v.bytes_of.items()}
         for b in texts(batches):
             count, joined, decoded, kept = [], [], [], []
             for t in b.column("text"):
-                p = encoder.pieces(t.as_py() or "")
-                all_ids = ",".join([x[1] for x in p if x[0]])
-                count.append(sum(x[0] for x in p))
+                all_ids = encoder.joined(t.as_py() or "")
+                each = all_ids.split(",") if all_ids else []
+                count.append(len(each))
                 joined.append(hashlib.sha256(all_ids.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([x[2] for x in p])).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(named.__getitem__, each))).hexdigest())
                 if ids:
-                    kept.append([int(i) for i in all_ids.split(",")] if all_ids else [])
+                    kept.append(list(map(int, each)))
             cols = [b.column("doc_id"), pa.array(count, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.list_(pa.int32()))] * ids, names + ["ids"] * ids)
