@@ -7,9 +7,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import veilspark
+
+# Tasks carry the package's functions with them, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(veilspark)
+
 #: Rows of a table that may be broadcast; above it a join is left to shuffles.
 BROADCAST_ROWS = 200_000
 #: UTF-8 bytes of text that a worker holds at once, unless one text is longer.
