@@ -96,7 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(pa.float64())), b.column("y")], ["doc_id", "x", "y"])
 
     got = found.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x array<double>, y int").toArrow().sort_by("doc_id")
-    return fit(np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, -1), np.array(got.column("y").to_pylist(), float))
+    x = np.array(got.column("x").to_pylist(), float) if got.num_rows else np.zeros((0, 0))
+    return fit(x, np.array(got.column("y").to_pylist(), float))
 
 
 def own_evidence(docs: DataFrame, model: Model) -> DataFrame:
@@ -154,7 +155,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     on = F.col(f"d.{host}").eqNullSafe(F.col("s.__h")) & F.col(f"d.{path}").eqNullSafe(F.col("s.__q"))
     out = join_sized(scored, site.alias("s"), on).drop("__h", "__q")
     prior = _logit(F.col("__path_rate"))
-    own = F.coalesce(_logit(F.col("__p")) - _logit(F.lit(rate)), F.lit(0.0))
+    own = F.when(F.col("__p").isNotNull(), _logit(F.col("__p")) - _logit(F.lit(rate))).otherwise(F.lit(0.0))
     return out.withColumn("__posterior", 1 / (1 + F.exp(-(own + prior))))
 
 
