@@ -112,9 +112,9 @@ class Settings:
     length: int = 50
     kmer: int = 16  # two words of eight bytes
     #: Tiles that a task gathers before it ships the first documents of each.
-    gathered: int = 1_200_000
+    gathered: int = 200_000
     #: Bytes of text scanned at once.
-    slice_bytes: int = 4 << 20
+    slice_bytes: int = 1 << 20
     #: Bytes of one suffix array, unless one anchor's tiles are more.
     sorted_bytes: int = 1 << 16
 
@@ -351,7 +351,7 @@ def _settled_tiles(tiles: DataFrame, parts: int, s: Settings) -> DataFrame:
             yield _rows_by_doc(1, doc[ask], ids, keys, data)
 
     names = ["kind", "doc_id", "key", "data"]
-    return tiles.repartition(parts, "part").mapInArrow(run, "kind int, doc_id long, key long, data binary")
+    return tiles.repartitionById(parts, F.pmod("part", F.lit(parts))).mapInArrow(run, "kind int, doc_id long, key long, data binary")
 
 
 def _fetched(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -405,35 +405,87 @@ def first_by_suffix_array(strings: list[bytes], doc: np.ndarray, length: int) ->
     return [np.array(sorted(x), np.int64) for x in out]
 
 
+def _shared_part(tiles: list[bytes], group: np.ndarray, length: int, value: np.ndarray) -> list[tuple[int, int]]:
+    """Of each tile the bytes from the first to the last string whose hash another tile of its group has, too."""
+    sizes = np.array([len(t) for t in tiles])
+    x = np.frombuffer(b"".join(tiles), np.uint8)
+    base = np.r_[0, np.cumsum(sizes)[:-1]]
+    power, back = np.full(len(x) + 1, _BASE), np.full(len(x) + 1, _INVERSE)
+    power[0] = back[0] = 1
+    np.multiply.accumulate(power, out=power)
+    np.multiply.accumulate(back, out=back)
+    total = np.r_[_U(0), np.cumsum(value[x] * power[:-1])]
+    count = sizes - length + 1
+    owner = np.repeat(np.arange(len(tiles)), count)
+    place = np.arange(int(count.sum())) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
+    at = base[owner] + place
+    h = _mix((total[at + length] - total[at]) * back[at])
+    order = np.lexsort((owner, h, group[owner]))
+    g, k, o = group[owner][order], h[order], owner[order]
+    run = _first_of_run(g, k)
+    last = np.r_[np.flatnonzero(run[1:] != run[:-1]), len(run) - 1]
+    many = np.repeat(o[run[last]] != o[last], last - run[last] + 1)
+    low, high = np.full(len(tiles), 1 << 40), np.full(len(tiles), -1)
+    np.minimum.at(low, o[many], place[order][many])
+    np.maximum.at(high, o[many], place[order][many])
+    return [(int(a), int(b) + length) if b >= 0 else (0, 0) for a, b in zip(low, high, strict=True)]
+
+
+def _resolve(rows: list[tuple], s: Settings, value: np.ndarray):
+    """Rows (h, doc, key, pos, tile) of whole groups of h; yields (doc, key, spans)."""
+    tiles: dict[tuple[int, bytes], int] = {}
+    for h, _, _, _, tile in rows:
+        tiles.setdefault((h, tile), len(tiles))
+    groups = np.unique(np.array([h for h, _ in tiles], np.int64), return_inverse=True)[1]
+    parts = _shared_part([t for _, t in tiles], groups, s.length, value)
+    # equal parts of a group are one string, of their smallest document
+    low: dict[tuple[int, bytes], int] = {}
+    named = []
+    for h, doc, key, pos, tile in rows:
+        a, b = parts[tiles[h, tile]]
+        if b:
+            name = (h, tile[a:b])
+            low[name] = min(low.get(name, doc), doc)
+            named.append((name, doc, key, pos + a))
+    alone: dict[int, int] = {}
+    for h, _ in low:
+        alone[h] = alone.get(h, 0) + 1
+    hits: dict[tuple[int, bytes], np.ndarray] = {}
+    batch, size = [], 0
+    for name in sorted(n for n in low if alone[n[0]] > 1):
+        if size >= s.sorted_bytes and name[0] != batch[-1][0]:
+            hits |= _hits(batch, low, s)
+            batch, size = [], 0
+        batch.append(name)
+        size += len(name[1])
+    if batch:
+        hits |= _hits(batch, low, s)
+    none = np.zeros(0, np.int64)
+    for name, doc, key, pos in named:
+        places = np.arange(len(name[1]) - s.length + 1) if doc > low[name] else hits.get(name, none)
+        if len(places):
+            cut = np.flatnonzero(np.r_[True, np.diff(places) > 1])
+            x = np.zeros(len(cut), _SPAN)
+            x["s"] = places[cut] + pos
+            x["e"] = places[np.r_[cut[1:], len(places)] - 1] + pos + s.length
+            yield doc, key, x.tobytes()
+
+
+def _hits(names: list[tuple[int, bytes]], low: dict, s: Settings) -> dict:
+    found = first_by_suffix_array([t for _, t in names], np.array([low[n] for n in names], np.int64), s.length)
+    return dict(zip(names, found, strict=True))
+
+
 def _sorted_tiles(tiles: DataFrame, parts: int, s: Settings) -> DataFrame:
     """kind 0 rows: spans of the strings that the suffix arrays find in smaller documents."""
 
     def run(batches):
-        def resolve(rows):
-            # equal tiles are one string, of their smallest document; what holds for it holds for those of its document
-            index: dict[bytes, int] = {}
-            low: list[int] = []
-            for _, doc, _, _, tile in rows:
-                i = index.setdefault(tile, len(low))
-                if i == len(low):
-                    low.append(doc)
-                elif doc < low[i]:
-                    low[i] = doc
-            strings = list(index)
-            hits = first_by_suffix_array(strings, np.array(low, np.int64), s.length) if len(strings) > 1 else [np.zeros(0, np.int64)]
-            ids, keys, data = [], [], []
-            for _, doc, key, pos, tile in rows:
-                i = index[tile]
-                places = np.arange(len(tile) - s.length + 1) if doc > low[i] else hits[i]
-                if len(places):
-                    cut = np.flatnonzero(np.r_[True, np.diff(places) > 1])
-                    x = np.zeros(len(cut), _SPAN)
-                    x["s"] = places[cut] + pos
-                    x["e"] = places[np.r_[cut[1:], len(places)] - 1] + pos + s.length
-                    ids.append(doc)
-                    keys.append(key)
-                    data.append(x.tobytes())
-            if ids:
+        value = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+        def resolved(rows):
+            found = list(_resolve(rows, s, value))
+            if found:
+                ids, keys, data = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["kind", "doc_id", "key", "data"])
 
         held, group, size = [], [], 0
@@ -444,13 +496,14 @@ def _sorted_tiles(tiles: DataFrame, parts: int, s: Settings) -> DataFrame:
                         held.extend(group)
                         size += sum(len(x[4]) for x in group)
                     group = []
-                    if size >= s.sorted_bytes:
-                        yield from resolve(held)
+                    if size >= 16 * s.sorted_bytes:
+                        yield from resolved(held)
                         held, size = [], 0
                 group.append(row)
-        held.extend(group)
+        if len(group) > 1:
+            held.extend(group)
         if held:
-            yield from resolve(held)
+            yield from resolved(held)
 
     return tiles.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "kind int, doc_id long, key long, data binary")
 
@@ -466,7 +519,7 @@ def _merged(data: list[bytes]) -> list[tuple[int, int]]:
 def removed_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, key (hash of the text), data: byte spans to remove, several rows for a document."""
     s = settings
-    parts = min(4096, max(64, 2 * docs.rdd.getNumPartitions()))
+    parts = min(4096, max(64, 4 * docs.rdd.getNumPartitions()))  # so that a part has a bounded share of a task's tiles
     rows = docs.where("doc_id is not null")
     first = settle(_settled_tiles(_tiles(rows, parts, s), parts, s))
     more = _sorted_tiles(_tile_bytes(rows, first.where("kind = 1").select("doc_id", "key", "data"), parts, s), parts, s)
