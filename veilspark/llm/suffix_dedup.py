@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import join_sized, settle, texts
+from veilspark.llm.common import settle, texts
 
 
 def suffix_array(s: list[int] | bytes) -> list[int]:
@@ -357,7 +357,7 @@ def _settled_tiles(tiles: DataFrame, parts: int, s: Settings) -> DataFrame:
 def _fetched(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """doc_id, key, text, data (list of blobs) of the documents that have rows in asked."""
     per = settle(asked.groupBy("doc_id", "key").agg(F.collect_list("data").alias("data")))
-    return join_sized(docs, per, ["doc_id", "key"])
+    return docs.join(per, ["doc_id", "key"])
 
 
 def _tile_bytes(docs: DataFrame, asked: DataFrame, parts: int, s: Settings) -> DataFrame:
@@ -552,6 +552,6 @@ def dedup(docs: DataFrame, settings: Settings = Settings(), kept_text: bool = Fa
             out = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out[: 4 + kept_text]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + kept_text])
 
-    met = join_sized(rows, per, ["doc_id", "key"], "left")
+    met = rows.join(per, ["doc_id", "key"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text
     return met.select("doc_id", "text", "data").mapInArrow(run, schema)
