@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import noise, votes
-from veilspark.functions.keyhash import Settings, key_hash, mixed_units
+from veilspark.functions.keyhash import Settings, key_hash, mixed_units, signed
 from veilspark.operators.diff import summarise, utility_diff
 from veilspark.operators.worlds import Agg, UnsupportedPrivateType, aggregate, check_diversity, counters
 from veilspark.plans.admission import RejectedQuery
@@ -149,6 +149,7 @@ def test_diff_cells(spark):
 
 def test_diversity_guard(spark):
     df = spark.range(400).withColumn("g", F.col("id") % 4)
+    half = F.lit(signed(EXACT.query_hash ^ 0xFFFFFFFF))  # one unit, in half of the worlds
     with pytest.raises(ValueError, match="too few"):
-        check_diversity(df, [F.col("g")], key_hash(F.col("g")), [Agg("n", "count")], EXACT)
+        check_diversity(df, [F.col("g")], half, [Agg("n", "count")], EXACT)
     check_diversity(df, [F.col("g")], key_hash(F.col("id")), [Agg("n", "count")], EXACT)
