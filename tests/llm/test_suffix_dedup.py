@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tests.llm.conftest import ODD
@@ -62,3 +63,14 @@ def test_like_brute_force(docs):
 def test_empty_tables(docs):
     assert suffix_dedup.dedup(docs([])).count() == 0
     assert [tuple(r)[1:4] for r in suffix_dedup.dedup(docs([None])).collect()] == [(0, 0, 0)]
+
+
+def test_different_tiles_of_one_anchor(docs):
+    # two pairs that have the same anchor and the same upper half of the hash of the tile's bytes
+    start = "oatlbuqlhzpsfusi"
+    texts = [start + x for x in ("wlktmcouomlycrgvtrbkawdlydlomewjef", "imipouqbcunfbwfxmpbpuwbvnrgoqyzuzr", "odjfhzjfwcybtfdonacdcedfwmxazvjmhh", "ummtuntvvvdporwdzknptlaifkubyyygjg")]
+    scan = suffix_dedup.Scanner(suffix_dedup.Settings())
+    found = scan("".join(texts).encode(), np.cumsum([len(t) for t in texts]))
+    assert len(set(found["h"].tolist())) == 1
+    got = suffix_dedup.dedup(docs(texts)).collect()
+    assert sorted(tuple(r) for r in got) == brute(list(enumerate(texts)))

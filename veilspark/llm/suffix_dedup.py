@@ -126,7 +126,7 @@ class Settings:
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-_ROW = np.dtype([("h", "<u8"), ("ctx", "<u4"), ("doc", "<u2"), ("pos", "<u4"), ("len", "u1"), ("left", "u1"), ("right", "u1")])
+_ROW = np.dtype([("h", "<u8"), ("ctx", "<u8"), ("doc", "<u2"), ("pos", "<u4"), ("len", "u1"), ("left", "u1"), ("right", "u1")])
 _ASK = np.dtype([("h", "<u8"), ("pos", "<u4"), ("len", "u1")])
 _SPAN = np.dtype([("s", "<u4"), ("e", "<u4")])
 
@@ -184,7 +184,7 @@ class Scanner:
 
         out = np.zeros(len(new), _ROW)
         out["h"] = h[a]
-        out["ctx"] = (_mix(of(p0, p1 + s.length) + (a - p0).astype(_U) * _BASE) >> _U(32)).astype(np.uint32)
+        out["ctx"] = _mix(of(p0, p1 + s.length) + (a - p0).astype(_U) * _BASE)  # all 64 bits: tiles of one anchor have the same h
         out["doc"], out["pos"], out["len"] = d, p0 - starts[d], p1 - p0 + 1
         half = s.window // 2  # of a string, so much stands on one side of its anchor at least
         hi, lo = a + s.kmer + half, a - half
@@ -220,7 +220,7 @@ def _spans(pos: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
 
 
 def _tiles(docs: DataFrame, parts: int, s: Settings) -> DataFrame:
-    """part and blob: tiles by range of their anchor's hash, and spans that a task's own documents settle (part < 0)."""
+    """part and blob: tiles by hash of their anchor, and spans that a task's own documents settle (part < 0)."""
 
     def run(batches):
         scan = Scanner(s)
@@ -241,7 +241,10 @@ def _tiles(docs: DataFrame, parts: int, s: Settings) -> DataFrame:
                 x = _rows_by_doc(0, rows["doc"][later].astype(np.int64), doc_ids, doc_keys, _spans(rows["pos"][later], rows["len"][later].astype(np.int64), s.length))
                 yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(x.num_rows, dtype=np.int32) % parts), x.column("doc_id"), x.column("key"), x.column("data")], names)
             rows = rows[~later]
-            part = ((rows["h"] >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+            # h is the smallest of a window, so its own ranges would be far from even
+            part = ((_mix(rows["h"] * _BASE) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            rows, part = rows[order], part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
             table = np.stack([doc_ids, doc_keys], axis=1)
             blobs = []
