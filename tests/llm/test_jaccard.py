@@ -92,3 +92,17 @@ def test_cluster_recursion_is_exact():
                 lo, hi = sorted((want[a], want[b]))
                 want = [lo if x == hi else x for x in want]
     assert list(c.label) == want
+
+
+def test_one_of_each_by_row_not_id(docs):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [
+        (None, "own words one two three four"), (None, "other words five six seven"), (None, a), (None, b), (None, b), (None, ""), (None, None),
+        (2, a), (5, a), (5, "not like any other"), (6, c), (6, c), (6, "six again but different"), (7, "seven one text"), (7, "seven another text"), (8, a), (9, ""), (9, "nine"), (9, c),
+        (3, "near " + "v w x y z " * 3 + "end"), (3, "near " + "v w x y z " * 3 + "end"),
+    ]
+    d = docs([t for _, t in rows], [i for i, _ in rows], ["linked"])
+    kept = jaccard.one_of_each(d, jaccard.Settings(**SMALL))
+    assert kept.columns == d.columns
+    want = [r for k, r in enumerate(rows) if k not in (2, 4, 8, 11, 15, 18, 20)]
+    assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=repr) == sorted(want, key=repr)

@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from veilspark.llm.common import Memo, join_sized, settle, texts
 
@@ -502,6 +503,11 @@ def _links_over_tasks(sets: DataFrame, s: Settings) -> list[DataFrame]:
 
 def components_of(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id and the class digest (d1, d2) of every row of docs."""
+    return _with_first(docs, settings).drop("k1", "k2")
+
+
+def _with_first(docs: DataFrame, settings: Settings) -> DataFrame:
+    """The same, and k1, k2: the class digest of the component's first row; null if a row is linked with nothing."""
     s, spark = settings, docs.sparkSession
     scanned = settle(signatures(docs, s))
     sigs = scanned.where("chunk < 0").select("doc_id", "n", "d1", "d2")
@@ -531,24 +537,65 @@ def components_of(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
 
     root = components(found, s)
     named = root.join(classes, F.col("node") == F.col("cid")).select("cid", "root", "doc_id", "d1", "d2")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(least, "root").select("cid", "component_id")
-    of_class = classes.join(linked, "cid", "left").where("component_id is not null or copies > 1").select("d1", "d2", F.coalesce("component_id", "doc_id").alias("component_id"))
-    of_class = settle(of_class)
+    # a component's first row has its smallest doc_id, null only if all are; of such rows, the smallest digest
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "d1", "d2")).alias("first"))
+    linked = named.join(least, "root").select("cid", "first")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "d1", "d2")
+    of_class = classes.join(linked, "cid", "left").where("first is not null or copies > 1").select("d1", "d2", F.coalesce("first", own).alias("first"))
+    of_class = settle(of_class.select("d1", "d2", F.col("first.doc_id").alias("component_id"), F.col("first.d1").alias("k1"), F.col("first.d2").alias("k2")))
     out = join_sized(sigs, of_class, ["d1", "d2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "d1", "d2")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "d1", "d2", "k1", "k2")
+
+
+def _digests(docs: DataFrame, s: Settings) -> DataFrame:
+    """The rows of docs with the class digest of their text, __d1 and __d2."""
+
+    def run(batches):
+        shingles = Shingles(s)
+        for b in texts(batches):
+            found = [_digest(shingles(t.as_py())) for t in b.column("text")]
+            more = [pa.array([d[k] for d in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "__d1", "__d2"])
+
+    schema = StructType([*docs.schema.fields, StructField("__d1", LongType()), StructField("__d2", LongType())])
+    return docs.mapInArrow(run, schema)
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs, columns as they are: of each component that of the smallest doc_id, once; all without words."""
-    found = settle(components_of(docs, settings))
-    gone = settle(found.where("not (doc_id <=> component_id)").select("doc_id").distinct())
-    kept = join_sized(docs.alias("d"), gone.alias("g"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")), "left_anti")
-    repeated = settle(found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    n = repeated.count()
-    if not n:
+    """The rows of docs, columns as they are: of each component one row, of the smallest doc_id; all rows linked with nothing.
+
+    A row is known by its doc_id and the digest of its text. Where an id has one row, or all of its rows stay or go, the
+    id alone decides; other rows, and those without id, are met by both.
+    """
+    first = F.expr("doc_id <=> component_id and d1 = k1 and d2 = k2")
+    found = settle(_with_first(docs, settings).select("doc_id", "d1", "d2", F.col("k1").isNotNull().alias("linked"), F.coalesce(first, F.lit(False)).alias("first")))
+    stays = F.expr("not linked or first")
+    per = settle(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("linked").alias("linked"), F.count_if(stays).alias("stay")).where("linked > 0 and not (n = 1 and stay = 1)"))
+    gone, both = per.where("stay = 0").select("doc_id"), settle(per.where("stay > 0").select("doc_id"))
+    no_id = not found.where("doc_id is null and linked").isEmpty()
+    n_both = both.count()
+
+    def met(rows: DataFrame, ids: DataFrame, how: str, n: int | None = None) -> DataFrame:
+        ids = ids.withColumnRenamed("doc_id", "__doc_id")
+        return join_sized(rows, ids, rows["doc_id"].cast("long") == ids["__doc_id"], how, rows=n)
+
+    kept = met(docs, settle(gone), "left_anti")
+    if not n_both and not no_id:
         return kept
-    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id"))
-    twice = join_sized(kept.alias("d"), repeated.alias("g"), on, "left_semi", rows=n).dropDuplicates(["doc_id"])
-    return join_sized(kept.alias("d"), repeated.alias("g"), on, "left_anti", rows=n).unionByName(twice)
+    null = F.col("doc_id").cast("long").isNull()
+    fate = found.where("linked")
+    unclear = docs.limit(0)
+    fates = fate.limit(0)
+    if n_both:
+        unclear, fates = met(docs, both, "left_semi", n_both), met(fate, both, "left_semi", n_both)
+        kept = met(kept, both, "left_anti", n_both)
+    if no_id:
+        unclear, fates = unclear.unionByName(docs.where(null)), fates.unionByName(fate.where("doc_id is null"))
+        kept = kept.where(~null)
+    fates = settle(fates.select(F.col("doc_id").alias("__id"), F.col("d1").alias("__f1"), F.col("d2").alias("__f2"), F.col("first").alias("__first")).distinct())
+    rows = _digests(unclear, settings)
+    on = rows["doc_id"].cast("long").eqNullSafe(fates["__id"]) & (rows["__d1"] == fates["__f1"]) & (rows["__d2"] == fates["__f2"])
+    rows = join_sized(rows, fates, on, "left")
+    one = rows.where("__first").dropDuplicates(["__id", "__f1", "__f2"])
+    return kept.unionByName(rows.where("__first is null").select(*docs.columns)).unionByName(one.select(*docs.columns))
