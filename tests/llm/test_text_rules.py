@@ -61,3 +61,11 @@ def test_clean_and_odd_rows(docs):
     out = pii.replace_pii(d)
     assert out.columns == d.columns and sorted(out.collect(), key=repr) == sorted(d.collect(), key=repr)
     assert pii.replace_pii(docs([])).count() == 0
+
+
+def test_long_secrets_and_tokens_of_parts(docs):
+    long = "a1B2c3D4" * 1000
+    token = ".".join(["eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIn0", "dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"])
+    for head, secret, tail in (('token = "', long, '" end'), ("secret: ", long, ". End"), ("api_key=", token, ", end"), ("token: ", token, ". Then")):
+        got = one(docs, head + secret + tail)
+        assert re.fullmatch(re.escape(head) + rf"[0-9a-f]{{{len(secret)}}}" + re.escape(tail), got)

@@ -5,8 +5,9 @@ a title) are replaced by surrogates of the same type and format. A surrogate is
 canonical form, so the same entity has the same surrogate everywhere. Numbers go through a keyed Feistel permutation of
 their digits, which is one-to-one by construction and keeps separators, country code and the state of the check digit.
 Names keep title (and so gender), script, case and number of words; mail addresses keep case and top-level domain;
-secrets keep length and case. Surrogates that aren't one-to-one by construction are checked over the whole corpus: of
-entities that share a surrogate all but the smallest take another attempt, until every surrogate has one entity.
+secrets, of any length and with the parts that follow after a dot, keep length and case. Surrogates that aren't
+one-to-one by construction are checked over the whole corpus: of entities that share a surrogate all but the smallest
+take another attempt, until every surrogate has one entity.
 
 Defined results: a null text stays null, a text without entities stays as it is; rows repeat as they come; null ids
 are kept. All columns of the input are kept, so none may be dropped by a clash: working columns begin with `__p_`.
@@ -46,7 +47,7 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))[ ]*[=:][ ]*\"?[A-Za-z0-9_+/=-]{12,512}\"?"
+SECRET = r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))[ ]*[=:][ ]*\"?[A-Za-z0-9_+/=-]{12,}+(?:\.[A-Za-z0-9_+/=-]++)*+\"?"
 NAME = r"(?<![\p{L}])(?:" + "|".join(_TITLES_F + _TITLES_M + _TITLES_N) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
 #: In the order in which a place is tried.
 ENTITY = "|".join([SECRET, MAIL, IP, SSN, PHONE, IBAN, CARD, NAME])
