@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from tests.llm.conftest import ODD
 
@@ -69,3 +70,21 @@ def test_long_secrets_and_tokens_of_parts(docs):
     for head, secret, tail in (('token = "', long, '" end'), ("secret: ", long, ". End"), ("api_key=", token, ", end"), ("token: ", token, ". Then")):
         got = one(docs, head + secret + tail)
         assert re.fullmatch(re.escape(head) + rf"[0-9a-f]{{{len(secret)}}}" + re.escape(tail), got)
+
+
+def test_wrapped_license_texts(docs):
+    texts = [(i, "\n".join(textwrap.fill(p, w, break_on_hyphens=False) for p in t.replace("<year>", "2020").replace("<holder>", "A B").split("\n"))) for i, t in licenses.LICENSES.items() for w in range(40, 100, 3)]
+    broken = {i for i, t in texts if re.search(r"(?mi)^copyright (?!\(c\))", t)}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"} <= broken
+    by_name = [(i, t.replace("Copyright (c) 2020, A B", "Copyright A B\n  Copyright C D").replace("Copyright (c) 2020 A B", "Copyright A B\n  Copyright C D")) for i, t in texts]
+    want = [i for i, _ in texts + by_name]
+    got = licenses.scan(docs([t for _, t in texts + by_name])).collect()
+    assert [r["license_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == want
+    assert licenses.canonical_text(licenses.LICENSES["ISC"], "notices") != licenses.canonical_text(licenses.LICENSES["ISC"].replace("copyright notice", ""), "notices")
+
+
+def test_notices_of_any_words(docs):
+    notices = {"own": "Free for any use.", "reserved": "All rights reserved.", "MIT": licenses.NOTICES["MIT"]}
+    texts = ["x\nFREE for any use\n\ny", "a\nall rights reserved\nReleased under the MIT Licence.", "Copyright 2020 A\n\n"]
+    got = licenses.scan(docs(texts), None, notices).collect()
+    assert {r["doc_id"]: r["notice_ids"] for r in got} == {0: "own", 1: "MIT,reserved", 2: ""}

@@ -2,7 +2,9 @@
 
 A text is made canonical (ASCII case, copyright lines, punctuation and equivalent spellings no longer differ), and the
 SHA-256 of its canonical form is looked up in the digests of known licences by a hash join over entire texts. A line
-that as a whole is a known notice is looked up the same way.
+that as a whole is a known notice is looked up the same way. The copyright rule of the canonical form takes any line that
+begins with the word, also one of wrapped prose; a text with such lines is looked up in a second form, too, without its
+copyright notices only.
 
 Defined results: a null text has a null digest and no licence; an empty text has the digest of the empty string; rows
 repeat as they come; a null doc_id is kept. Extra columns are ignored. The catalogue is a table of the caller's, of
@@ -23,8 +25,11 @@ CATALOGUE_ROWS = 10_000
 # Spellings that count as equal, after lower-casing.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("modelled", "modeled"), ("per cent", "percent"), ("non-commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("https://", "http://")]
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that is a notice wherever it stands, and those that begin a paragraph; a wrapped line of prose is neither.
+NOTICE_LINE = r"(?m)^[ \t]*(?:copyright[ \t:]*(?:\(c\)|©|[<\[{]|[0-9]{4})[^\n]*|\(c\)[ \t]*(?:copyright|[<\[{]|[0-9]{4})[^\n]*|©[^\n]*|all rights reserved[.!]?[ \t\r]*)$"
+NOTICE_PARAGRAPH = r"(\A|\n[ \t\r]*\n)(?:[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*(?:\n|$))++"
 NO_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
-#: Every notice has this in its canonical form; other lines aren't looked up.
+#: If every notice has this in its canonical form, other lines aren't looked up.
 MARK = "licen"
 
 # Licence texts and one-line notices.
@@ -53,41 +58,67 @@ NOTICES = {
 _FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def canonical_text(text: str) -> str:
+#: What goes of a text, with what is put there; `lines` is the SQL's rule.
+_RULES = {"lines": [(COPYRIGHT_LINE, "")], "notices": [(NOTICE_LINE, ""), (NOTICE_PARAGRAPH, "1")], "none": []}
+
+
+def canonical_text(text: str, rule: str = "lines") -> str:
     """The canonical form, for catalogue entries."""
-    x = re.sub(COPYRIGHT_LINE, "", text.translate(str.maketrans(_FROM, _FROM.lower())))
+    x = text.translate(str.maketrans(_FROM, _FROM.lower()))
+    for pattern, group in _RULES[rule]:
+        x = re.sub(pattern, group and "\\" + group, x)
     for a, b in SPELLINGS:
         x = x.replace(a, b)
     return re.sub(NO_WORD, " ", x).strip(" ")
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, rule: str = "lines") -> Column:
     """The same form of a column."""
-    x = F.regexp_replace(F.translate(text, _FROM, _FROM.lower()), F.lit(COPYRIGHT_LINE), F.lit(""))
+    x = F.translate(text, _FROM, _FROM.lower())
+    for pattern, group in _RULES[rule]:
+        x = F.regexp_replace(x, F.lit(pattern), F.lit(group and "$" + group))
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(x, F.lit(NO_WORD), F.lit(" ")))
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(canonical_text(text).encode()).hexdigest()
+def digest(text: str, rule: str = "lines") -> str:
+    return hashlib.sha256(canonical_text(text, rule).encode()).hexdigest()
+
+
+def _digest(text: Column, rule: str = "lines") -> Column:
+    return F.sha2(canonical(text, rule).cast("binary"), 256)
+
+
+def _found(lines: Column, notices: dict[str, str], rule: str) -> Column:
+    """The ids of the lines that are notices, by the digests of one rule."""
+    flat = [F.lit(x) for t, i in sorted(notices.items()) for x in (digest(t, rule), i)]
+    if not flat:
+        return F.array().cast("array<string>")
+    if all(MARK in canonical_text(t, rule) for t in notices):
+        lines = F.filter(lines, lambda x: F.contains(F.translate(x, "LICEN", "licen"), F.lit(MARK)))
+    by_digest = F.create_map(*flat)
+    return F.filter(F.transform(lines, lambda x: F.try_element_at(by_digest, _digest(x, rule))), lambda x: x.isNotNull())
 
 
 def scan(docs: DataFrame, licenses: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
     """doc_id, canonical_sha256, license_id (of the entire text) and notice_ids (of whole lines, joined by commas)."""
-    known = {digest(t): i for i, t in (LICENSES if licenses is None else licenses).items()}
-    lines = {digest(t): i for i, t in (NOTICES if notices is None else notices).items()}
-    if len(known) + len(lines) > CATALOGUE_ROWS:
+    licenses = LICENSES if licenses is None else licenses
+    # by text, one id for each canonical form; a notice that is a copyright line has its words as its form
+    by_rule: dict[str, dict[str, tuple[str, str]]] = {"lines": {}, "none": {}}
+    for i, t in (NOTICES if notices is None else notices).items():
+        rule = "lines" if canonical_text(t) else "none"
+        by_rule[rule][digest(t, rule)] = (t, i)
+    if len(licenses) + sum(map(len, by_rule.values())) > CATALOGUE_ROWS:
         raise ValueError(f"the catalogue has more than {CATALOGUE_ROWS} rows")
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(sorted(known.items()), "canonical_sha256 string, license_id string"))
-    marked = F.filter(F.split("text", "\n"), lambda x: F.contains(F.translate(x, "LICEN", "licen"), F.lit(MARK)))
-    flat = [F.lit(x) for kv in sorted(lines.items()) for x in kv]
-    by_digest = F.create_map(*flat) if flat else F.lit(None).cast("map<string,string>")
-    found = F.transform(marked, lambda x: F.try_element_at(by_digest, F.sha2(canonical(x).cast("binary"), 256)))
-    ids = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("canonical_sha256"), F.coalesce(F.array_join(ids, ","), F.lit("")).alias("notice_ids"))
-    return rows.join(table, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id", "notice_ids")
+    whole, wrapped = (F.broadcast(spark.createDataFrame(sorted({digest(t, r): i for i, t in licenses.items()}.items()), f"{c} string, {n} string")) for r, c, n in (("lines", "canonical_sha256", "license_id"), ("notices", "__wrapped", "__id")))
+    ids = F.concat(*[_found(F.split("text", "\n"), dict(found.values()), r) for r, found in by_rule.items()])
+    # prose may be wrapped before the word copyright, so a text with such a line has a second form, without notices only
+    second = F.when(F.rlike(F.translate("text", _FROM, _FROM.lower()), F.lit(COPYRIGHT_LINE)), _digest(F.col("text"), "notices"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("canonical_sha256"), second.alias("__wrapped"), F.coalesce(F.array_join(F.array_sort(F.array_distinct(ids)), ","), F.lit("")).alias("notice_ids"))
+    met = rows.join(whole, "canonical_sha256", "left").join(wrapped, "__wrapped", "left")
+    return met.select("doc_id", "canonical_sha256", F.coalesce("license_id", "__id").alias("license_id"), "notice_ids")
 
 
 def oracle() -> str:
