@@ -35,3 +35,14 @@ def test_odd_rows(spark):
     got = [tuple(r) for r in ann.nearest_of_own(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert got == [(0, 1, 1, 1.0)]
     assert ann.nearest_of_own(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_queries(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 8)).astype(np.float32)
+    rows = [(i + 1, v.tolist(), 0) for i, v in enumerate(x[:99])]
+    q, other = x[200].tolist(), x[201].tolist()
+    own = [(100, q, 0)] * 3 + [(100, other, 0)]
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest_of_own(spark.createDataFrame(rows + own, SCHEMA), settings=ann.Settings(block_rows=30)).collect()]
+    want = [(100, n + 1, i) for v, times in ((q, 3), (other, 1)) for n, i in enumerate(brute([*rows, (100, v, 0)])[100]) for _ in range(times)]
+    assert len(want) == 40 and sorted(got) == sorted(want)

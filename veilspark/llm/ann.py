@@ -9,7 +9,8 @@ the radius of the present windows, or when nothing is left. The exact distances
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
 another length than the query's are no candidates; repeated vectors are candidates each, ties go to the smaller
-vec_id; a null vec_id takes no part; rows of the same vec_id as the query are its own. Extra columns are ignored.
+vec_id; a null vec_id takes no part; rows of the same vec_id as the query are its own. Each row of the queries has its
+own k neighbours, so repeated queries repeat their list and a vec_id with two vectors has two. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ class Index:
 
 
 def _search_block(rows: pa.Table, asked: pa.Table, k: int, s: Settings) -> pa.Table:
-    """The k nearest rows of the block for each query, by (distance, vec_id)."""
+    """The k nearest rows of the block for each query q, by (distance, vec_id)."""
     ids = rows.column("vec_id").to_numpy()
     x = np.array(rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1)
     order = np.argsort(ids, kind="stable")
@@ -108,19 +109,21 @@ def _search_block(rows: pa.Table, asked: pa.Table, k: int, s: Settings) -> pa.Ta
     qs = np.array(asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(qid), -1)
     index = Index(x, s)
     out: tuple[list, list, list] = ([], [], [])
-    for i, q in zip(qid, qs, strict=True):
+    for at, (i, q) in enumerate(zip(qid, qs, strict=True)):
         got, d = index.search(q, k, ids == i)
         best = np.lexsort((ids[got], d))[:k]
-        out[0].extend([i] * len(best))
+        out[0].extend([at] * len(best))
         out[1].extend(ids[got[best]])
         out[2].extend(d[best])
-    return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+    mine = asked.select(["q", "n", "vec_id"]).take(pa.array(out[0], pa.int64()))
+    return pa.table({"q": mine.column("q"), "n": mine.column("n"), "query_id": mine.column("vec_id"), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, settings: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of all vectors for each row of queries (embedding, vec_id)."""
     rows = usable(vectors).withColumn("dim", F.size("v"))
-    asked = usable(queries).withColumn("dim", F.size("v"))
+    # q: a query, which stands in n rows
+    asked = settle(usable(queries).groupBy("vec_id", "v").agg(F.count("*").alias("n")).withColumn("q", F.monotonically_increasing_id())).withColumn("dim", F.size("v"))
     dims = settle(rows.groupBy("dim").agg(F.count("*").alias("n")))
     blocks = dims.select("dim", F.ceil(F.col("n") / settings.block_rows).cast("int").alias("blocks"))
     n_asked = max(1, -(-asked.count() // settings.query_rows))
@@ -128,17 +131,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, settings: Setti
     blocks = F.broadcast(blocks)  # a row for each vector length
     # each block of vectors meets each block of queries of its length
     left = rows.join(blocks, "dim").withColumn("b", salt(F.col("blocks"), 3)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(int(n_asked) - 1)))).select("dim", "b", "qb", "vec_id", "v")
-    right = asked.join(blocks, "dim").withColumn("qb", salt(F.lit(int(n_asked)), 5)).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "b", "qb", "vec_id", "v")
+    right = asked.join(blocks, "dim").withColumn("qb", salt(F.lit(int(n_asked)), 5)).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "b", "qb", "vec_id", "v", "q", "n")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({c: pa.array([], pa.float64() if c == "score" else pa.int64()) for c in ("q", "n", "query_id", "vec_id", "score")})
         return _search_block(a, b, k, settings)
 
     keys = ["dim", "b", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "q long, n long, query_id long, vec_id long, score double")
+    w = Window.partitionBy("q").orderBy("score", "vec_id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_of_own(vectors: DataFrame, every: int = 100, k: int = 10, settings: Settings = Settings()) -> DataFrame:
