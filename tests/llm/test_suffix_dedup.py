@@ -55,7 +55,7 @@ def test_like_brute_force(docs):
     texts = rows(rng)
     ids = [*range(len(texts) - 2), None, 5]
     rng.shuffle(ids)
-    for s in (suffix_dedup.Settings(), suffix_dedup.Settings(gathered=100, slice_bytes=4096, sorted_bytes=300)):
+    for s in (suffix_dedup.Settings(), suffix_dedup.Settings(gathered=100, slice_bytes=4096, sorted_bytes=300, sketch_bits=12, group_rows=3)):
         got = suffix_dedup.dedup(docs(texts, ids, ["key", "data"]), s).collect()
         assert sorted([tuple(r) for r in got], key=repr) == brute(list(zip(ids, texts, strict=True)))
 
@@ -74,3 +74,16 @@ def test_different_tiles_of_one_anchor(docs):
     assert len(set(found["h"].tolist())) == 1
     got = suffix_dedup.dedup(docs(texts)).collect()
     assert sorted(tuple(r) for r in got) == brute(list(enumerate(texts)))
+
+
+def test_one_hot_anchor_with_many_different_tiles(docs):
+    # a passage shorter than a string, that each document goes on from differently, some of them alike
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    passage = "zq passage that all of them hold in common "
+    ends = [" ".join(word() for _ in range(3)) for _ in range(150)]
+    texts = [word() + passage + rng.choice(ends) for _ in range(500)]
+    want = brute(list(enumerate(texts)))
+    assert sum(r[2] > 0 for r in want) > 100
+    for s in (suffix_dedup.Settings(), suffix_dedup.Settings(group_rows=50)):
+        assert sorted((tuple(r) for r in suffix_dedup.dedup(docs(texts), s).collect()), key=repr) == want

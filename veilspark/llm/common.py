@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
@@ -40,6 +43,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffles of what is settled and no longer held, which it learns of only by a collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcasts the settled table `right` only if its counted rows are within the bound; else AQE deals the join, splitting hot keys."""
     n = right.count() if rows is None else rows
@@ -70,6 +79,46 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(17)), key).limit(rows)
 
 
+#: Slots of a sketch that one row describes, as a power of two.
+_CHUNK = 20
+
+
+def slot_batches(slots: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, slots) that say which slots of a sketch were met, and which of them more than once."""
+    found, times = np.unique(slots, return_counts=True)
+    if not len(found):
+        return
+    chunk = found >> min(_CHUNK, bits)
+    at = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+    blobs = []
+    for a, b in zip(at, np.r_[at[1:], len(found)], strict=True):
+        gaps = (np.diff(found[a:b], prepend=found[a] & ~((1 << min(_CHUNK, bits)) - 1)) * 2 + (times[a:b] > 1)).astype("<u4")
+        blobs.append(zlib.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1))
+    yield pa.RecordBatch.from_arrays([pa.array(chunk[at], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "slots"])
+
+
+def marked_twice(rows: DataFrame, bits: int):
+    """A broadcast bit for each slot that was met more than once; 2 ** bits of them, whatever the input."""
+    width = min(_CHUNK, bits)
+
+    def run(batches):
+        seen: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, blob in zip(b.column("chunk").to_pylist(), b.column("slots"), strict=True):
+                gaps = np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+                at, twice = np.cumsum(gaps >> 1, dtype=np.int64), (gaps & 1).astype(np.uint8)
+                times = seen.setdefault(c, np.zeros(1 << width, np.uint8))
+                times[at] = np.minimum(times[at] + 1 + twice, 2)
+        for c, times in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(times > 1, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
+
+    out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    size = max(1, (1 << width) // 8)
+    for r in rows.repartition(max(1, min(64, 1 << (bits - width))), "chunk").mapInArrow(run, "chunk int, bits binary").collect():  # the sketch, of fixed size
+        out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
 class Memo(dict):
     """A dict that computes missing values; of two generations of bounded size, the older goes when the younger is full."""
 

@@ -7,10 +7,15 @@ In the end each group has the suffixes of one Lyndon prefix. The second pass emi
 suffix is emitted, those whose Lyndon prefix ends where it begins take the next places of their groups.
 
 A string of `length` bytes has, by the smallest hash of its k-mers, an anchor that only depends on its bytes, so equal
-strings meet at equal anchors. A scan cuts every whole text into tiles, the runs of strings with one anchor. Tiles of
-equal bytes are one string to sort, whose first document is kept by a minimum in each task before the shuffle and after
-it. Where different tiles share an anchor and more, their strings may be equal in part: these tiles' bytes are fetched,
-sorted by the suffix array, and each class of equal strings gives its smallest doc_id to all of its members.
+strings meet at equal anchors. A first scan marks the anchors of all texts in a sketch of fixed size, a second one cuts
+every whole text into tiles, the runs of strings with one anchor, and ships those whose anchor more than one document
+may have. Tiles of equal bytes are one string to sort, whose first document is kept by a minimum in each task before
+the shuffle and after it. Where different tiles share an anchor and half a string beside it, their strings may be equal
+in part: these tiles' bytes are fetched and dealt by the anchor with that half; each group is sorted by the suffix
+array, and each class of equal strings gives its smallest doc_id to all of its members. A group of more than
+`group_rows` tiles, as one short passage that a large share of all documents holds makes, is taken apart into its
+strings, whose bytes are then the key of an aggregation, so no task holds such a group. Texts are shuffled only if they
+may lose bytes.
 
 Defined results: a null text counts as empty; texts shorter than the length keep all bytes; the same document's own
 repeats stay; rows of an equal doc_id don't remove each other's bytes, and a row without doc_id neither loses bytes nor
@@ -24,10 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import settle, texts
+from veilspark.llm.common import free, marked_twice, settle, slot_batches, texts
 
 
 def suffix_array(s: list[int] | bytes) -> list[int]:
@@ -117,17 +124,26 @@ class Settings:
     slice_bytes: int = 1 << 20
     #: Bytes of one suffix array, unless one anchor's tiles are more.
     sorted_bytes: int = 1 << 16
+    #: Bits of the sketch of repeated anchors, and of that of documents that lose bytes, as a power of two.
+    sketch_bits: int = 27
+    #: Different tiles that share an anchor and half a string; more are taken apart into strings.
+    group_rows: int = 20_000
 
     @property
     def window(self) -> int:
         return self.length - self.kmer + 1
 
+    @property
+    def half(self) -> int:
+        """Of a string, so many bytes stand on one side of its anchor at least."""
+        return (self.length - self.kmer) // 2
+
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-_ROW = np.dtype([("h", "<u8"), ("ctx", "<u8"), ("doc", "<u2"), ("pos", "<u4"), ("len", "u1"), ("left", "u1"), ("right", "u1")])
-_ASK = np.dtype([("h", "<u8"), ("pos", "<u4"), ("len", "u1")])
+_ROW = np.dtype([("h", "<u8"), ("ctx", "<u8"), ("doc", "<u2"), ("pos", "<u4"), ("len", "u1"), ("at", "u1"), ("left", "u1"), ("right", "u1")])
+_ASK = np.dtype([("pos", "<u4"), ("len", "u1"), ("at", "u1"), ("sides", "u1")])
 _SPAN = np.dtype([("s", "<u4"), ("e", "<u4")])
 
 
@@ -148,12 +164,12 @@ class Scanner:
         np.multiply.accumulate(self.back, out=self.back)
         self.value = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-    def __call__(self, data: bytes, ends: np.ndarray) -> np.ndarray:
-        """data: texts in a row; ends: where each ends. Rows with `doc` and `pos` in the texts; no string crosses an end."""
-        s = self.s
-        x, size = np.frombuffer(data, np.uint8), len(data)
-        if size < s.length:
-            return np.zeros(0, _ROW)
+    def anchors(self, data: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each tile its document, anchor place, anchor hash, first string and last string; none crosses an end."""
+        s, none = self.s, tuple(np.zeros(0, t) for t in (np.int64, np.int64, _U, np.int64, np.int64))
+        x = np.frombuffer(data, np.uint8)
+        if len(x) < s.length:
+            return none
         w = x.astype(_U)
         for shift in (1, 2, 4):
             w = w[:-shift] | (w[shift:] << _U(8 * shift))
@@ -167,33 +183,70 @@ class Scanner:
             m = np.minimum(m[: len(m) - (s.window - done)], m[s.window - done :])
         anchor = (m & _U(0xFFFFFF)).astype(np.int64)
         starts = np.r_[0, ends[:-1]]
-        lengths = ends - starts
         p = np.arange(len(anchor))
-        doc = np.repeat(np.arange(len(ends)), lengths)[: len(anchor)]
+        doc = np.repeat(np.arange(len(ends)), ends - starts)[: len(anchor)]
         ok = p + s.length <= ends[doc]
         p, anchor, doc = p[ok], anchor[ok], doc[ok]
         if not len(p):
-            return np.zeros(0, _ROW)
+            return none
         new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-        p0, a, d = p[new], anchor[new], doc[new]
-        p1 = p[np.r_[new[1:], len(p)] - 1]
+        return doc[new], anchor[new], h[anchor[new]], p[new], p[np.r_[new[1:], len(p)] - 1]
+
+    def __call__(self, data: bytes, ends: np.ndarray, wanted=None) -> np.ndarray:
+        """data: texts in a row; ends: where each ends; wanted: which anchor hashes matter. Rows with places in the texts."""
+        s = self.s
+        d, a, h, p0, p1 = self.anchors(data, ends)
+        if wanted is not None and len(d):
+            keep = wanted(h)
+            d, a, h, p0, p1 = d[keep], a[keep], h[keep], p0[keep], p1[keep]
+        if not len(d):
+            return np.zeros(0, _ROW)
+        x, size, starts = np.frombuffer(data, np.uint8), len(data), np.r_[0, ends[:-1]]
         total = np.r_[_U(0), np.cumsum(self.value[x] * self.power[:size])]
 
         def of(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
             return _mix((total[hi] - total[lo]) * self.back[lo] + (hi - lo).astype(_U))
 
-        out = np.zeros(len(new), _ROW)
-        out["h"] = h[a]
+        out = np.zeros(len(d), _ROW)
+        out["h"] = h
         out["ctx"] = _mix(of(p0, p1 + s.length) + (a - p0).astype(_U) * _BASE)  # all 64 bits: tiles of one anchor have the same h
-        out["doc"], out["pos"], out["len"] = d, p0 - starts[d], p1 - p0 + 1
-        half = s.window // 2  # of a string, so much stands on one side of its anchor at least
-        hi, lo = a + s.kmer + half, a - half
-        right, left = hi <= ends[d], lo >= starts[d]
+        out["doc"], out["pos"], out["len"], out["at"] = d, p0 - starts[d], p1 - p0 + 1, a - p0
+        hi, lo = a + s.kmer + s.half, a - s.half
+        right, left = hi <= p1 + s.length, lo >= p0  # of any string, so much stands on one side of its anchor at least
         out["right"][right] = (of(a[right] + s.kmer, hi[right]) >> _U(40)).astype(np.uint8) % 255 + 1
         out["left"][left] = (of(lo[left], a[left]) >> _U(40)).astype(np.uint8) % 255 + 1
         return out
 
 
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(h * _BASE + _U(1)) >> _U(64 - bits)).astype(np.int64)
+
+
+def _is_marked(marks: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (marks[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
+def repeated_anchors(docs: DataFrame, s: Settings):
+    """A broadcast sketch of the anchors that more than one text may have."""
+
+    def run(batches):
+        scan, held, n = Scanner(s), [], 0
+        for b in texts(batches, most=s.slice_bytes // 2):
+            raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column("text")]
+            for data, ends, _, _ in _slices(raw, s):
+                doc, _, h, _, _ = scan.anchors(data, ends)
+                # an anchor's slots once for each text
+                held.append(np.unique((doc << s.sketch_bits) | _slots(h, s.sketch_bits)) & ((1 << s.sketch_bits) - 1))
+                n += len(held[-1])
+                if n >= 1 << 21:
+                    yield from slot_batches(np.concatenate(held), s.sketch_bits)
+                    held, n = [], 0
+        if n:
+            yield from slot_batches(np.concatenate(held), s.sketch_bits)
+
+    return marked_twice(docs.select("text").mapInArrow(run, "chunk int, slots binary"), s.sketch_bits)
+
+
 def _first_of_run(*keys: np.ndarray) -> np.ndarray:
     """For rows sorted by the keys, the place of the first row of each row's run."""
     new = np.zeros(len(keys[0]), bool)
@@ -219,11 +272,11 @@ def _spans(pos: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _tiles(docs: DataFrame, parts: int, s: Settings) -> DataFrame:
+def _tiles(docs: DataFrame, parts: int, marks, s: Settings) -> DataFrame:
     """part and blob: tiles by hash of their anchor, and spans that a task's own documents settle (part < 0)."""
 
     def run(batches):
-        scan = Scanner(s)
+        scan, seen = Scanner(s), np.frombuffer(marks.value, np.uint8)
         held, ids, keys, n = [], [], [], 0
 
         def flush():
@@ -259,7 +312,7 @@ def _tiles(docs: DataFrame, parts: int, s: Settings) -> DataFrame:
             id_col, key_col = b.column("doc_id").to_pylist(), b.column("key").to_pylist()
             raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column("text")]
             for data, ends, owner, offset in _slices(raw, s):
-                found = scan(data, ends)
+                found = scan(data, ends, lambda h: _is_marked(seen, _slots(h, s.sketch_bits)))
                 if not len(found):
                     continue
                 used, found["doc"] = np.unique(found["doc"], return_inverse=True)
@@ -301,7 +354,7 @@ def _slices(raw: list[bytes], s: Settings):
 
 
 def _settled_tiles(tiles: DataFrame, parts: int, s: Settings) -> DataFrame:
-    """kind 0: spans of documents that have a tile after another one; kind 1: tiles whose bytes must be sorted."""
+    """kind 0: spans of documents that have a tile after another one; 1: tiles whose bytes must be sorted; 2: those of large groups."""
 
     def run(batches):
         found, table, base = [], [], 0
@@ -334,8 +387,8 @@ def _settled_tiles(tiles: DataFrame, parts: int, s: Settings) -> DataFrame:
         if later.any():
             yield _rows_by_doc(0, doc[later], ids, keys, _spans(rows["pos"][later], rows["len"][later].astype(np.int64), s.length))
         rows, doc, who = rows[~later], doc[~later], who[~later]
-        ask = np.zeros(len(rows), bool)
-        for side in ("left", "right"):
+        ask, hot = np.zeros(len(rows), np.uint8), np.zeros(len(rows), np.uint8)
+        for bit, side in enumerate(("left", "right")):
             order = np.lexsort((rows["ctx"], rows[side], rows["h"]))
             h, f, c, w = rows["h"][order], rows[side][order], rows["ctx"][order], who[order]
             run_of = _first_of_run(h, f)
@@ -346,38 +399,99 @@ def _settled_tiles(tiles: DataFrame, parts: int, s: Settings) -> DataFrame:
             if len(starts):
                 many = (c[starts] != c[last]) & (np.minimum.reduceat(w, starts) != np.maximum.reduceat(w, starts))
                 differs[: len(h)] = np.repeat(many, last - starts + 1)
-            ask[order] |= differs[: len(h)] & (f > 0)
-        if ask.any():
-            data = np.zeros(int(ask.sum()), _ASK)
-            for n in ("h", "pos", "len"):
-                data[n] = rows[n][ask]
-            yield _rows_by_doc(1, doc[ask], ids, keys, data)
+            size = np.repeat(last - starts + 1, last - starts + 1)
+            mine = (differs[: len(h)] & (f > 0)).astype(np.uint8) << bit
+            ask[order] |= np.where(size <= s.group_rows, mine, 0).astype(np.uint8)
+            hot[order] |= np.where(size > s.group_rows, mine, 0).astype(np.uint8)
+        for kind, sides in ((1, ask), (2, hot)):
+            asked = sides > 0
+            if asked.any():
+                data = np.zeros(int(asked.sum()), _ASK)
+                for n in ("pos", "len", "at"):
+                    data[n] = rows[n][asked]
+                data["sides"] = sides[asked]
+                yield _rows_by_doc(kind, doc[asked], ids, keys, data)
 
     names = ["kind", "doc_id", "key", "data"]
     return tiles.repartitionById(parts, F.pmod("part", F.lit(parts))).mapInArrow(run, "kind int, doc_id long, key long, data binary")
 
 
-def _fetched(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """doc_id, key, text, data (list of blobs) of the documents that have rows in asked."""
-    per = settle(asked.groupBy("doc_id", "key").agg(F.collect_list("data").alias("data")))
-    return docs.join(per, ["doc_id", "key"])
+def _doc_slots(ids: pa.Array, keys: pa.Array, s: Settings) -> np.ndarray:
+    i, k = (np.array(pa.compute.fill_null(x, 0).to_numpy(zero_copy_only=False), np.int64).view(_U) for x in (ids, keys))
+    return _slots(_mix(i * _BASE) ^ k, s.sketch_bits)
+
+
+def _marked_docs(per: DataFrame, s: Settings):
+    """A broadcast sketch of the rows of per (doc_id, key)."""
+
+    def run(batches):
+        for b in batches:
+            x = _doc_slots(b.column("doc_id"), b.column("key"), s)
+            yield from slot_batches(np.repeat(x, 2), s.sketch_bits)
+
+    return marked_twice(per.select("doc_id", "key").mapInArrow(run, "chunk int, slots binary"), s.sketch_bits)
+
+
+def _may_have(docs: DataFrame, marks, s: Settings) -> DataFrame:
+    """doc_id, key and text of the rows that the sketch holds."""
+
+    def run(batches):
+        seen = np.frombuffer(marks.value, np.uint8)
+        for b in batches:
+            keep = _is_marked(seen, _doc_slots(b.column("doc_id"), b.column("key"), s)) & b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(keep))
+
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, text string")
 
 
-def _tile_bytes(docs: DataFrame, asked: DataFrame, parts: int, s: Settings) -> DataFrame:
+def _tile_bytes(docs: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
+    """g (hash of an anchor with half a string on one side of it), doc_id, key, pos and bytes of the tiles asked for."""
+    per = settle(asked.groupBy("doc_id", "key").agg(F.collect_list("data").alias("data")))
+
     def run(batches):
         for b in texts(batches):
-            h, doc, key, pos, blob = [], [], [], [], []
+            g, doc, key, pos, blob = [], [], [], [], []
             for i, k, t, data in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text"), b.column("data").to_pylist(), strict=True):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                for x in np.frombuffer(b"".join(data), _ASK):
-                    h.append(int(x["h"].view(np.int64)))
+                for at, n, anchor, sides in np.frombuffer(b"".join(data), _ASK).tolist():
+                    tile, a = raw[at : at + n - 1 + s.length], at + anchor
+                    for bit, shared in ((1, raw[a - s.half : a + s.kmer]), (2, raw[a : a + s.kmer + s.half])):
+                        if sides & bit:
+                            g.append(xxhash.xxh3_64_intdigest(shared, bit) - (1 << 63))
+                            doc.append(i)
+                            key.append(k)
+                            pos.append(at)
+                            blob.append(tile)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(pos, pa.int64()), pa.array(blob, pa.binary())], ["g", "doc_id", "key", "pos", "tile"])
+
+    met = _may_have(docs, _marked_docs(per, s), s).join(per, ["doc_id", "key"])
+    return met.select("doc_id", "key", "text", "data").mapInArrow(run, "g long, doc_id long, key long, pos long, tile binary")
+
+
+def _strings_alone(tiles: DataFrame, s: Settings) -> DataFrame:
+    """Spans of the strings of tiles, each string's bytes the key of its smallest document."""
+
+    def run(batches):
+        for b in batches:
+            doc, key, pos, string = [], [], [], []
+            for i, k, p, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "pos", "tile")), strict=True):
+                for x in range(len(t) - s.length + 1):
                     doc.append(i)
                     key.append(k)
-                    pos.append(int(x["pos"]))
-                    blob.append(raw[int(x["pos"]) : int(x["pos"]) + int(x["len"]) - 1 + s.length])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(pos, pa.int64()), pa.array(blob, pa.binary())], ["h", "doc_id", "key", "pos", "tile"])
+                    pos.append(p + x)
+                    string.append(t[x : x + s.length])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(pos, pa.int64()), pa.array(string, pa.binary())], ["doc_id", "key", "pos", "string"])
 
-    return _fetched(docs, asked).select("doc_id", "key", "text", "data").mapInArrow(run, "h long, doc_id long, key long, pos long, tile binary")
+    def spans(batches):
+        for b in batches:
+            p = b.column("pos").to_numpy()
+            x = [r.tobytes() for r in _spans(p, np.ones(len(p), np.int64), s.length)]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(x), pa.int32()), b.column("doc_id"), b.column("key"), pa.array(x, pa.binary())], ["kind", "doc_id", "key", "data"])
+
+    strings = tiles.select("doc_id", "key", "pos", "tile").mapInArrow(run, "doc_id long, key long, pos long, string binary")
+    least = strings.groupBy("string").agg(F.min("doc_id").alias("least"))
+    later = strings.join(least, "string").where("doc_id > least")
+    return later.select("doc_id", "key", "pos").mapInArrow(spans, "kind int, doc_id long, key long, data binary")
 
 
 def first_by_suffix_array(strings: list[bytes], doc: np.ndarray, length: int) -> list[np.ndarray]:
@@ -435,7 +549,7 @@ def _shared_part(tiles: list[bytes], group: np.ndarray, length: int, value: np.n
 
 
 def _resolve(rows: list[tuple], s: Settings, value: np.ndarray):
-    """Rows (h, doc, key, pos, tile) of whole groups of h; yields (doc, key, spans)."""
+    """Rows (g, doc, key, pos, tile) of whole groups of g; yields (doc, key, spans)."""
     tiles: dict[tuple[int, bytes], int] = {}
     for h, _, _, _, tile in rows:
         tiles.setdefault((h, tile), len(tiles))
@@ -479,7 +593,7 @@ def _hits(names: list[tuple[int, bytes]], low: dict, s: Settings) -> dict:
     return dict(zip(names, found, strict=True))
 
 
-def _sorted_tiles(tiles: DataFrame, parts: int, s: Settings) -> DataFrame:
+def _sorted_tiles(tiles: DataFrame, s: Settings) -> DataFrame:
     """kind 0 rows: spans of the strings that the suffix arrays find in smaller documents."""
 
     def run(batches):
@@ -493,7 +607,7 @@ def _sorted_tiles(tiles: DataFrame, parts: int, s: Settings) -> DataFrame:
 
         held, group, size = [], [], 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "key", "pos", "tile")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("g", "doc_id", "key", "pos", "tile")), strict=True):
                 if group and row[0] != group[0][0]:
                     if len(group) > 1:
                         held.extend(group)
@@ -508,7 +622,7 @@ def _sorted_tiles(tiles: DataFrame, parts: int, s: Settings) -> DataFrame:
         if held:
             yield from resolved(held)
 
-    return tiles.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "kind int, doc_id long, key long, data binary")
+    return tiles.select("g", "doc_id", "key", "pos", "tile").repartition("g").sortWithinPartitions("g").mapInArrow(run, "kind int, doc_id long, key long, data binary")
 
 
 def _merged(data: list[bytes]) -> list[tuple[int, int]]:
@@ -522,10 +636,14 @@ def _merged(data: list[bytes]) -> list[tuple[int, int]]:
 def removed_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, key (hash of the text), data: byte spans to remove, several rows for a document."""
     s = settings
-    parts = min(4096, max(64, 4 * docs.rdd.getNumPartitions()))  # so that a part has a bounded share of a task's tiles
+    parts = max(64, docs.rdd.getNumPartitions())  # a part has about as many tiles as a task of the scan
     rows = docs.where("doc_id is not null")
-    first = settle(_settled_tiles(_tiles(rows, parts, s), parts, s))
-    more = _sorted_tiles(_tile_bytes(rows, first.where("kind = 1").select("doc_id", "key", "data"), parts, s), parts, s)
+    first = settle(_settled_tiles(_tiles(rows, parts, repeated_anchors(rows, s), s), parts, s))
+    free(docs.sparkSession)  # the tiles
+    asked = lambda kind: _tile_bytes(rows, first.where(F.col("kind") == kind).select("doc_id", "key", "data"), s)
+    more = _sorted_tiles(asked(1), s)
+    if not first.where("kind = 2").isEmpty():
+        more = more.union(_strings_alone(asked(2), s))
     return first.where("kind = 0").union(more).select("doc_id", "key", "data")
 
 
@@ -537,24 +655,37 @@ def dedup(docs: DataFrame, settings: Settings = Settings(), kept_text: bool = Fa
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row of docs."""
     rows = keyed(docs)
     per = settle(removed_spans(rows, settings).groupBy("doc_id", "key").agg(F.collect_list("data").alias("data")))
+    free(docs.sparkSession)
+    marks = _marked_docs(per, settings)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + kept_text]
+
+    def cut(b: pa.RecordBatch, spans_of: list) -> pa.RecordBatch:
+        cols: list[list] = [[], [], [], [], []]
+        for t, data in zip(b.column("text"), spans_of, strict=True):
+            raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            spans = _merged(data) if data else []
+            kept, at = [], 0
+            for a, e in spans:
+                kept.append(raw[at:a])
+                at = e
+            rest = b"".join([*kept, raw[at:]])
+            for c, v in zip(cols, (len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest), strict=True):
+                c.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        out = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *out[: 4 + kept_text]], names)
+
+    def whole(batches):
+        seen = np.frombuffer(marks.value, np.uint8)
+        for b in batches:
+            keep = _is_marked(seen, _doc_slots(b.column("doc_id"), b.column("key"), settings)) & b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            for some in texts([b.filter(pa.array(~keep))]):
+                yield cut(some, [None] * some.num_rows)
 
-    def run(batches):
+    def shortened(batches):
         for b in texts(batches):
-            cols: list[list] = [[], [], [], [], []]
-            for t, data in zip(b.column("text"), b.column("data").to_pylist(), strict=True):
-                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                spans = _merged(data) if data else []
-                kept, at = [], 0
-                for a, e in spans:
-                    kept.append(raw[at:a])
-                    at = e
-                rest = b"".join([*kept, raw[at:]])
-                for c, v in zip(cols, (len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest), strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            out = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out[: 4 + kept_text]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + kept_text])
-
-    met = rows.join(per, ["doc_id", "key"], "left")
+            yield cut(b, b.column("data").to_pylist())
+
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_text
-    return met.select("doc_id", "text", "data").mapInArrow(run, schema)
+    met = _may_have(rows, marks, settings).join(per, ["doc_id", "key"], "left")
+    return rows.mapInArrow(whole, schema).unionByName(met.select("doc_id", "text", "data").mapInArrow(shortened, schema))
