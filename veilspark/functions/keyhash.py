@@ -36,22 +36,30 @@ class Settings:
         return ((self.seed_used() * MAGIC) ^ MAGIC) & _MASK
 
 
-def key_hash(*keys: Column) -> Column:
-    """The first 64 bits of the MD5 of the key's string form; null if any part is null."""
-    text = keys[0].cast("string") if len(keys) == 1 else F.when(F.greatest(*[k.isNull().cast("int") for k in keys]) == 0, F.concat_ws("|", *[k.cast("string") for k in keys]))
+def _md5_long(text: Column) -> Column:
+    """The first 64 bits of the MD5 of a string."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 16), 16, -10).cast("long")
 
 
+def key_hash(*keys: Column) -> Column:
+    """The first 64 bits of the MD5 of the key's string form; null if any part is null.
+
+    Parts of a composite key carry their lengths, so that different keys have different forms.
+    """
+    parts = [k.cast("string") for k in keys]
+    return _md5_long(parts[0] if len(parts) == 1 else F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)]))
+
+
 def fast_key_hash(*keys: Column) -> Column:
     """A faster hash that other engines don't have; null if any part is null."""
     return F.when(F.greatest(F.lit(0), *[k.isNull().cast("int") for k in keys]) == 0, F.xxhash64(*keys))
 
 
 def mixed_units(*hashes: Column, conjunctive: bool = False) -> Column:
-    """One hash for several units: XOR keeps each world at probability one half; AND is the narrower alternative."""
+    """One hash for several units: XOR, with all but the first hashed again, keeps each world at probability one half; AND is the narrower alternative."""
     out = hashes[0]
     for h in hashes[1:]:
-        out = out.bitwiseAND(h) if conjunctive else out.bitwiseXOR(F.when(h.isNotNull(), F.xxhash64(h)))
+        out = out.bitwiseAND(h) if conjunctive else out.bitwiseXOR(_md5_long(h.cast("string")))
     return out
 
 

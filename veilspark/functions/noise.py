@@ -11,8 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.keyhash import WORLDS, Settings, signed
-from veilspark.functions.votes import _draw, select
+from veilspark.functions.keyhash import WORLDS, Settings
+from veilspark.functions.votes import _draw, drawn_bits, select
 
 
 def world_mask(worlds: Column) -> Column:
@@ -25,9 +25,8 @@ def _let(value: Column, body) -> Column:
 
 
 def _uniform(settings: Settings, mask: Column, draw: int) -> Column:
-    """53 bits in (0, 1]."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(draw), F.lit(signed(settings.seed_used())), mask), 11)
-    return (bits.cast("double") + 1.0) / float(1 << 53)
+    """52 bits in (0, 1]."""
+    return (drawn_bits(settings, F.concat(mask.cast("string"), F.lit(f"|{draw}")), 13).cast("double") + 1.0) / float(1 << 52)
 
 
 def _normal(settings: Settings, mask: Column) -> Column:
@@ -88,5 +87,6 @@ def aggregate_samples(values: Column, counts: Column, mi: float, least: int, set
     x = F.transform(values, lambda v: v.cast("double"))
     checked = F.when(F.size(values) != F.size(counts), F.raise_error(F.lit("values and counts must have the same length")).cast("double"))
     null = (F.size(values) == 0) | F.exists(values, lambda v: v.isNull()) | (F.array_max(counts) < least)
-    mask = F.xxhash64(values)
+    # what the draw depends on: the values, to six places where they have a decimal form
+    mask = F.array_join(F.transform(x, lambda v: F.coalesce(v.try_cast("decimal(38,6)").cast("string"), v.cast("string"))), ",")
     return checked.when(F.coalesce(null, F.lit(True)), F.lit(None).cast("double")).otherwise(_released(x, mask, s))

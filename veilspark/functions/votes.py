@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from veilspark.functions.keyhash import WORLDS, Settings, signed
 
 
+def drawn_bits(settings: Settings, what: Column, digits: int) -> Column:
+    """Hex digits of the MD5 of seed, query and `what`, as a long: a retry gives the same, and any engine can tell it."""
+    seed = f"{signed(settings.seed_used())}|{signed(settings.query_hash)}|"
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), what.cast("string")).cast("binary")), 1, digits), 16, 10).cast("long")
+
+
 def _draw(settings: Settings, mask: Column, n: Column) -> Column:
-    """A whole number under n: a function of seed, query and mask, so a retry gives the same."""
-    return F.pmod(F.xxhash64(F.lit(signed(settings.seed_used())), F.lit(signed(settings.query_hash)), mask), n)
+    """A whole number under n: a function of seed, query and mask."""
+    return F.pmod(drawn_bits(settings, mask, 15), n)
 
 
 def select(bools: Column) -> Column:
@@ -35,6 +41,8 @@ def filter_mask(mask: Column, settings: Settings = Settings(), correction: Colum
 
 def filter_list(bools: Column, settings: Settings = Settings()) -> Column:
     """The vote of a boolean list; a null or empty list is false."""
+    if settings.mi <= 0:  # no draw, so no mask: only how many hold counts
+        return F.coalesce(F.size(F.filter(F.slice(bools, 1, WORLDS), lambda x: x)) >= WORLDS // 2, F.lit(False))
     return F.coalesce(F.when(F.size(bools) > 0, filter_mask(select(bools), settings)), F.lit(False))
 
 

@@ -25,9 +25,9 @@ def utility_diff(private: DataFrame, exact: DataFrame, keys: int) -> DataFrame:
     e = exact.select(*[F.col(f"`{c}`").alias(f"__e{i}") for i, c in enumerate(names)], F.lit(True).alias("__e"))
     if keys:
         on = [F.col(f"__p{i}") == F.col(f"__e{i}") for i in range(keys)]
-    else:  # by place, for answers of few rows
-        w = Window.orderBy(F.lit(1))
-        p, e = p.withColumn("__r", F.row_number().over(w)), e.withColumn("__s", F.row_number().over(w))
+    else:  # by place in the order of all columns, for answers of few rows
+        by = lambda c: F.row_number().over(Window.orderBy(*[f"__{c}{i}" for i in range(len(names))]))
+        p, e = p.withColumn("__r", by("p")), e.withColumn("__s", by("e"))
         on = [F.col("__r") == F.col("__s")]
     both = p.join(e, on, "full")
     extra, missing = F.col("__e").isNull(), F.col("__p").isNull()

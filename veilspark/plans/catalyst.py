@@ -78,16 +78,37 @@ class Catalyst:
         for c in self.children(node):
             yield from self.walk(c)
 
+    def holds_plan(self, expr) -> bool:
+        return expr.nodeName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+
     def subqueries(self, plan) -> list:
         """Expressions of this node that hold plans."""
-        return [e for x in self.list(plan.expressions()) for e in self.walk(x) if e.nodeName() in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery") and hasattr(e, "plan") and e.nodeName() != "InSubquery"]
+        return [e for x in self.list(plan.expressions()) for e in self.walk(x) if self.holds_plan(e)]
 
     def whole(self, plan):
-        """Nodes of the plan and of the subqueries in it."""
+        """Nodes of the plan, of its common table expressions and of the subqueries in it."""
         for p in self.walk(plan):
             yield p
             for s in self.subqueries(p):
                 yield from self.whole(s.plan())
+            if p.nodeName() == "UnresolvedWith":
+                for k in self.list(p.innerChildren()):
+                    yield from self.whole(k)
+
+    def is_a(self, node, name: str) -> bool:
+        """Whether the node is of the class of this name."""
+        loader = self.jvm.java.lang.Thread.currentThread().getContextClassLoader()
+        return loader.loadClass(name).isInstance(node)
+
+    def parse(self, text: str):
+        return self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+
+    def inlined(self, plan):
+        """The plan with its common table expressions put where they are read."""
+        return self.jvm.org.apache.spark.sql.catalyst.optimizer.InlineCTE(True, False).apply(plan)
+
+    def is_correlated(self, subquery) -> bool:
+        return any(e.nodeName() == "OuterReference" for p in self.whole(subquery.plan()) for x in self.list(p.expressions()) for e in self.walk(x))
 
     def with_expressions(self, plan, change: Callable):
         """The node with its own expressions changed; of the nodes that a parsed query has."""
@@ -108,14 +129,16 @@ class Catalyst:
             return [c for k in self.children(expr) for c in self.conjuncts(k)]
         return [expr]
 
-    def table_name(self, plan) -> str | None:
-        """The name of a base table or view; None for other nodes."""
+    def table_name(self, plan, known=()) -> str | None:
+        """The name of a base table, or of a view that is known as a table; None for other nodes."""
         name = plan.nodeName()
         if name == "SubqueryAlias":
             kid = plan.child()
-            if kid.nodeName() in ("View", "LogicalRelation", "RelationV2", "HiveTableRelation", "DataSourceV2Relation") or not self.children(kid):
-                inner = self.table_name(kid)
-                return inner or plan.alias().lower()
+            if kid.nodeName() == "View":
+                return self.table_name(kid, known)
+            if not self.children(kid):
+                return plan.alias().lower()
         if name == "View":
-            return plan.desc().identifier().table().lower()
+            found = plan.desc().identifier().table().lower()
+            return found if found in known else None
         return None

@@ -23,9 +23,25 @@ class Names:
     def __init__(self, spark: SparkSession, settings: Settings):
         self.c, self.settings, self.spark = Catalyst(spark), settings, spark
 
-    def query(self, text: str) -> DataFrame:
-        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-        return self.c.frame(self._plan(plan))
+    def frame(self, parsed) -> DataFrame:
+        return self.c.frame(self._plan(parsed))
+
+    def _functions(self, parsed) -> list[str]:
+        """Names of the functions that a parsed query calls, lower-case."""
+        calls = (e for p in self.c.whole(parsed) for x in self.c.list(p.expressions()) for e in self.c.walk(x) if e.nodeName() == "UnresolvedFunction")
+        return [self.c.list(e.nameParts())[-1].lower() for e in calls]
+
+    def calls(self, parsed) -> bool:
+        return any(n.startswith("pac_") for n in self._functions(parsed))
+
+    def plain_aggregates(self, parsed) -> list[str]:
+        """Aggregate and window functions called beside pac_ functions."""
+        catalog, out = self.spark._jsparkSession.sessionState().catalog(), []
+        for n in dict.fromkeys(self._functions(parsed)):
+            name = self.c.jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(n)
+            if not n.startswith("pac_") and catalog.functionExists(name) and catalog.lookupFunctionInfo(name).getGroup() in ("agg_funcs", "window_funcs"):
+                out.append(n)
+        return out
 
     def _plan(self, plan):
         kids = self.c.children(plan)

@@ -3,8 +3,8 @@
 Aggregates over privacy units are found in the analyzed plan. Below each one the key's hash is threaded up from the
 base table, with the missing links joined in (never the unit itself: its foreign key has the key's values). The
 aggregate becomes lists of worlds; a plain aggregate releases one value of its list, and an expression over several
-is evaluated in every world before its value is released. A comparison with a private subquery becomes a vote over
-its worlds, joined on the correlated columns or with one row.
+is evaluated in every world before its value is released. A comparison with private subqueries becomes a vote over
+their worlds, joined on the correlated columns or with one row; a private subquery anywhere else gives what it releases.
 """
 
 from __future__ import annotations
@@ -15,55 +15,65 @@ from pyspark.sql import functions as F
 from veilspark.functions.keyhash import Settings, key_hash, mixed_units
 from veilspark.functions.noise import noised
 from veilspark.functions.votes import filter_list
-from veilspark.operators.worlds import Agg, _prepared, _scaled, released, world_lists
-from veilspark.plans.admission import Checker, RejectedQuery
-from veilspark.plans.catalyst import Catalyst
+from veilspark.operators.worlds import Agg, _scaled, released, typed_world_lists
+from veilspark.plans.admission import Checker, Origin, RejectedQuery
 from veilspark.plans.policy import Registry
 
 
 class Rewriter:
-    def __init__(self, spark: SparkSession, registry: Registry, settings: Settings = Settings()):
+    """conjunctive: hashes of several units meet by AND, not by XOR; join_elimination: a unit's own table isn't joined for its key."""
+
+    def __init__(self, spark: SparkSession, registry: Registry, settings: Settings = Settings(), conjunctive: bool = False, join_elimination: bool = True):
         self.spark, self.registry, self.settings = spark, registry, settings
-        self.c, self.checker = Catalyst(spark), Checker(spark, registry)
+        self.conjunctive, self.join_elimination = conjunctive, join_elimination
+        self.checker = Checker(spark, registry)
+        self.c = self.checker.c
         self._moved: list[tuple] = []  # attributes that have another id above a private aggregate
+        self._done = 0
 
     def rewrite(self, df: DataFrame) -> DataFrame:
-        return self.c.frame(self._plan(self.c.plan(df)))
-
-    # --- which aggregates ---
-
-    def _sensitive(self, plan) -> bool:
-        """Whether a base table with a path to a unit stands below without another aggregate that is private between."""
-        name = self.c.table_name(plan)
-        if name is not None:
-            return bool(self.registry.paths(name))
-        if plan.nodeName() == "Aggregate":
-            return self.checker._grouped_by_key(plan) and any(map(self._sensitive, self.c.children(plan)))
-        kids = self.c.children(plan)
-        if plan.nodeName() == "Join" and plan.joinType().toString() in ("LeftSemi", "LeftAnti"):
-            kids = kids[:1]
-        return any(map(self._sensitive, kids))
+        return self.c.frame(self.plan(self.c.inlined(self.c.plan(df))))
 
-    def _is_target(self, plan) -> bool:
-        return plan.nodeName() == "Aggregate" and self._sensitive(plan.child()) and not self.checker._grouped_by_key(plan)
+    def plan(self, plan):
+        wanted = sum(map(self.checker.is_target, self.checker.whole(plan)))
+        out = self._plan(plan)
+        if self._done != wanted:
+            raise RejectedQuery("an aggregate over a privacy unit stands where it can't be made private")
+        return out
 
     def _plan(self, plan):
-        if self.c.table_name(plan) is not None:
+        if self.checker.table_name(plan) is not None:
             return plan
-        if self._is_target(plan):
+        if plan.nodeName() == "View":
+            return self._plan(plan.child())
+        if self.checker.is_target(plan):
             return self._private(plan)
         kids = self.c.children(plan)
         new = [self._plan(k) for k in kids]
         if any(a is not b for a, b in zip(kids, new, strict=True)):
             plan = self.c.with_children(plan, new)
             plan = self.c.with_attributes(plan, self._moved) if self._moved else plan
-        return self._voted(plan) if plan.nodeName() == "Filter" else plan
+        return self._released_subqueries(self._voted(plan) if plan.nodeName() == "Filter" else plan)
+
+    def _released_subqueries(self, plan):
+        """Private subqueries that no vote is held on give what they release."""
+        if not any(self.checker.has_target(s.plan()) for s in self.c.subqueries(plan)):
+            return plan
+
+        def found(e):
+            if not self.c.holds_plan(e) or not self.checker.has_target(e.plan()):
+                return None
+            if self.c.is_correlated(e):
+                raise RejectedQuery("a private subquery may be correlated only in a comparison of a WHERE clause, by equalities")
+            return e.withNewPlan(self._plan(e.plan()))
+
+        return self.c.with_expressions(plan, lambda e: self.c.replace(e, found))
 
     # --- the key's hash ---
 
     def _keyed(self, plan):
         """The plan with a column for each unit that it has rows of, and the columns' names by unit."""
-        name = self.c.table_name(plan)
+        name = self.checker.table_name(plan)
         if name is not None:
             return self._keyed_table(plan, name)
         kids = self.c.children(plan)
@@ -77,7 +87,7 @@ class Rewriter:
             return self.c.with_children(plan, [left, kids[1]]), keys
         new, keys = [], {}
         for k in kids:
-            p, own = self._keyed(k) if self._sensitive(k) else (k, {})
+            p, own = self._keyed(k) if self.checker.sensitive(k) else (k, {})
             twice = {n for u, n in own.items() if u in keys}  # joined rows of a unit have one key
             if twice:
                 p = k if twice == set(own.values()) else self.c.project([a for a in self.c.list(p.output()) if a.name() not in twice], p)
@@ -94,11 +104,12 @@ class Rewriter:
         df, keys = self.c.frame(plan), {}
         names = df.columns
         for n, (unit, path) in enumerate(sorted(self.registry.paths(name).items())):
-            cols = self.registry.key_of(unit) if not path else path[0].columns
-            if not cols:
-                raise RejectedQuery(f"privacy unit {unit} has no key")
-            at = [F.col(f"`{c}`") for c in cols] if len(path) < 2 else None
-            if len(path) > 1:
+            # a unit without a key has each of its rows, by content, as a unit
+            cols = path[0].columns if path else self.registry.key_of(unit) or names
+            at = [F.col(f"`{c}`") for c in cols]
+            if not path and not self.registry.key_of(unit):
+                at = [F.coalesce(c.cast("string"), F.lit("")) for c in at]
+            if len(path) > self.join_elimination:
                 df, at = self._joined(df, path, n)
             out = f"__kh_{unit}"
             df = df.select(*[F.col(f"`{c}`") for c in [*names, *keys.values()]], key_hash(*at).alias(out))
@@ -108,8 +119,8 @@ class Rewriter:
     def _joined(self, df: DataFrame, path, n: int):
         """df joined along the path, all but the unit; and the columns that have the unit's key."""
         at = [F.col(f"`{c}`") for c in path[0].columns]
-        for i, link in enumerate(path[:-1]):
-            ahead = path[i + 1].columns
+        for i, link in enumerate(path[:-1] if self.join_elimination else path):
+            ahead = path[i + 1].columns if i + 1 < len(path) else link.referenced
             other = self._fresh(link.table).select(*[F.col(f"`{r}`").alias(f"__r{n}_{i}_{k}") for k, r in enumerate(link.referenced)], *[F.col(f"`{a}`").alias(f"__n{n}_{i}_{k}") for k, a in enumerate(ahead)])
             df = df.join(other, [a == F.col(f"__r{n}_{i}_{k}") for k, a in enumerate(at)])
             at = [F.col(f"__n{n}_{i}_{k}") for k in range(len(ahead))]
@@ -121,19 +132,20 @@ class Rewriter:
         return self.c.frame(self.c.children(self.c.plan(t.crossJoin(t)))[1])  # never run: only how the right side is named
 
     def _keyed_group(self, plan):
-        """An aggregate that groups by a unit's key has the key in its rows."""
+        """An aggregate that groups by the keys of its units has them in its rows."""
         known = self.checker.origins(plan)
-        df = self.c.frame(plan)
-        for a in self.c.list(plan.output()):
-            for o in known.get(a.exprId().id(), set()):
-                if not self.checker.is_protected(o):
-                    continue
-                for unit, path in self.registry.paths(o.table).items():
-                    first = self.registry.key_of(unit) if not path else path[0].columns if len(path) == 1 else ()
-                    if first == (o.column,):
-                        new = df.select("*", key_hash(self.c.column(a)).alias(f"__kh_{unit}"))
-                        return self.c.plan(new), {unit: f"__kh_{unit}"}
-        raise RejectedQuery("an inner aggregate must keep the key that it groups by")
+        at = {o: a for a in self.c.list(plan.output()) if len(found := known.get(a.exprId().id(), set())) == 1 for o in found}
+        df, keys = self.c.frame(plan), {}
+        for unit in sorted(self.checker.units_below(plan.child())):
+            for t in sorted({o.table for o in at}):
+                cols = [at.get(Origin(t, c)) for c in self.checker.key_columns(t, unit)]
+                if cols and all(c is not None for c in cols):
+                    keys[unit] = f"__kh_{unit}"
+                    df = df.select("*", key_hash(*[self.c.column(c) for c in cols]).alias(keys[unit]))
+                    break
+            else:
+                raise RejectedQuery("an inner aggregate must keep the key that it groups by")
+        return self.c.plan(df), keys
 
     def _keyed_union(self, plan, kids):
         found = [self._keyed(k) for k in kids]
@@ -154,7 +166,7 @@ class Rewriter:
         if not keys:
             raise RejectedQuery("no privacy unit can be reached from the aggregated rows")
         df = self.c.frame(keyed)
-        kh = mixed_units(*[F.col(f"`{keys[u]}`") for u in sorted(keys)])
+        kh = mixed_units(*[F.col(f"`{keys[u]}`") for u in sorted(keys)], conjunctive=self.conjunctive)
         groups = [*self.c.list(plan.groupingExpressions()), *extra_groups]
         nodes, aggs = [], []
         for e in self.c.list(plan.aggregateExpressions()):
@@ -176,12 +188,12 @@ class Rewriter:
         return Agg(name, kind, value, bool(node.isDistinct()))
 
     def _lists(self, plan, extra_groups=()):
+        self._done += 1
         df, kh, groups, nodes, aggs = self._parts(plan, extra_groups)
         cols = [self.c.column(g) for g in groups]
         if not aggs:
             raise RejectedQuery("a query over a privacy unit needs an aggregate (sum, count, avg, min or max)")
-        lists = world_lists(df, cols, kh, aggs, self.settings)
-        _, _, types = _prepared(df, cols, kh, aggs, self.settings)
+        lists, types = typed_world_lists(df, cols, kh, aggs, self.settings)
         if not groups:
             lists = lists.groupBy().agg(*[F.first(a.name).alias(a.name) for a in aggs])
         return lists, groups, nodes, aggs, types
@@ -235,17 +247,15 @@ class Rewriter:
         """A filter whose conjuncts compare with private scalar subqueries, as votes."""
         base, rest, votes = plan.child(), [], []
         for cond in self.c.conjuncts(plan.condition()):
-            subs = [e for e in self.c.walk(cond) if e.nodeName() == "ScalarSubquery"]
-            private = [s for s in subs if self._has_target(s.plan())]
-            (votes.append((cond, private[0])) if len(private) == 1 else rest.append(cond))
-            if len(private) > 1:
-                raise RejectedQuery("a condition may compare with one private subquery")
+            held = [e for e in self.c.walk(cond) if self.c.holds_plan(e) and self.checker.has_target(e.plan())]
+            votes_on = bool(held) and all(e.nodeName() == "ScalarSubquery" for e in held)
+            (votes.append((cond, held)) if votes_on else rest.append(cond))
         if not votes:
             return plan
         outer = self.c.list(base.output())
-        df = self.c.frame(base if not rest else self.c.filter(self._and(rest), base))
-        for n, (cond, sub) in enumerate(votes):
-            df = self._vote(df, cond, sub, n)
+        df = self.c.frame(base if not rest else self._released_subqueries(self.c.filter(self._and(rest), base)))
+        for n, (cond, subs) in enumerate(votes):
+            df = self._vote(df, cond, subs, n)
         return self.c.project(outer, self.c.plan(df))
 
     def _and(self, conds):
@@ -254,13 +264,33 @@ class Rewriter:
             out = out & self.c.column(c)
         return self.c.expression(out)
 
-    def _has_target(self, plan) -> bool:
-        return any(self._is_target(p) for p in self.c.walk(plan))
+    def _vote(self, df: DataFrame, cond, subs: list, n: int) -> DataFrame:
+        """The rows of df for which the worlds of the subqueries vote for the condition; several are compared world by world."""
+        for k, sub in enumerate(subs):
+            worlds, outer = self._worlds_of(sub, f"{n}_{k}")
+            if outer:
+                df = df.join(worlds, [self.c.column(out) == F.col(f"__c{n}_{k}_{i}") for i, out in enumerate(outer)])
+            else:
+                df = df.join(F.broadcast(worlds))  # one row
+
+        def body(z: Column) -> Column:
+            ids = [s.exprId().id() for s in subs]
 
-    def _vote(self, df: DataFrame, cond, sub, n: int) -> DataFrame:
+            def found(x):
+                if x.nodeName() != "ScalarSubquery" or x.exprId().id() not in ids:
+                    return None
+                return self.c.expression(z[f"w{ids.index(x.exprId().id())}"])
+
+            return self.c.column(self.c.replace(cond, found))
+
+        zipped = F.arrays_zip(*[F.col(f"__w{n}_{k}").alias(f"w{k}") for k in range(len(subs))])
+        return df.where(filter_list(F.transform(zipped, body), self.settings))
+
+    def _worlds_of(self, sub, name: str) -> tuple[DataFrame, list]:
+        """__w<name>: the worlds of a private scalar subquery, by __c<name>_i, its values of the outer columns that are returned."""
         wrap, agg = [], sub.plan()
         while agg.nodeName() != "Aggregate":
-            if agg.nodeName() not in ("Project", "SubqueryAlias"):
+            if agg.nodeName() not in ("Project", "SubqueryAlias", "View"):
                 raise RejectedQuery("a private subquery must be one aggregate")
             wrap.append(agg)
             agg = agg.child()
@@ -275,23 +305,15 @@ class Rewriter:
                 bare = top.child() if top.nodeName() == "Alias" else top
                 expr = self.c.replace(bare, lambda x: ids.get(x.exprId().id()) if x.nodeName() == "AttributeReference" else None)
                 ids[top.exprId().id()] = expr
-        worlds = lists.select(*[F.col(f"__g{i}").alias(f"__c{n}_{i}") for i in range(len(groups))], self._in_worlds(expr, nodes, aggs, groups).alias(f"__w{n}"))
-        if pairs:
-            df = df.join(worlds, [self.c.column(out) == F.col(f"__c{n}_{i}") for i, (out, _) in enumerate(pairs)])
-        else:
-            df = df.join(F.broadcast(worlds))  # one row
-
-        def body(w: Column) -> Column:
-            return self.c.column(self.c.replace(cond, lambda x: self.c.expression(w) if x.nodeName() == "ScalarSubquery" else None))
-
-        return df.where(filter_list(F.transform(F.col(f"__w{n}"), body), self.settings))
+        worlds = lists.select(*[F.col(f"__g{i}").alias(f"__c{name}_{i}") for i in range(len(groups))], self._in_worlds(expr, nodes, aggs, groups).alias(f"__w{name}"))
+        return worlds, [out for out, _ in pairs]
 
     def _decorrelated(self, agg):
         """The aggregate without conditions on outer columns, and the pairs (outer, inner) that were equal in them."""
         pairs = []
 
         def strip(plan):
-            if self.c.table_name(plan) is not None:
+            if self.checker.table_name(plan) is not None:
                 return plan
             new = [strip(k) for k in self.c.children(plan)]
             plan = self.c.with_children(plan, new) if new else plan

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import noise, votes
-from veilspark.functions.keyhash import Settings, key_hash
+from veilspark.functions.keyhash import Settings, key_hash, signed
 from veilspark.operators.diff import utility_diff
 from veilspark.operators.lists import aggregate_lists
 from veilspark.operators.worlds import Agg, aggregate, counters
 from veilspark.plans.policy import Registry
 from veilspark.plans.session import PrivateSession
 from veilspark.sources.io import read_table, register_tables
-from veilspark.streaming.worlds import release, windowed_worlds
+from veilspark.streaming.worlds import release, sink, windowed_units
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -41,10 +43,16 @@ def two_units() -> Registry:
     return r
 
 
-def _sql(text: str, registry: Callable[[], Registry] = policy, settings: Settings = EXACT) -> Query:
+def _sql(text: str, registry: Callable[[], Registry] = policy, settings: Settings = EXACT, **more: str) -> Query:
+    words = set(re.findall(r"\w+", text.lower()))
+    links = {x.table for t in words & set(TABLES) for path in registry().paths(t).values() for x in path}
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_tables(spark, sf_dir, TABLES)
-        return PrivateSession(spark, registry(), settings).sql(text)
+        register_tables(spark, sf_dir, [t for t in TABLES if t in words | links])
+        p = PrivateSession(spark, registry(), settings)
+        for name, value in more.items():
+            p.set(name, value)
+        return p.sql(text)
 
     return run
 
@@ -65,7 +73,7 @@ def _groups() -> dict[str, Column]:
 def _counters(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = counters(_lines(spark, sf_dir), _groups(), key_hash(F.col("o_custkey")), [Agg("c", kind, F.col("l_quantity"))], EXACT)
-        return c.select(*_GROUPS, F.size("c").cast("long").alias("n"), *[F.round(F.get("c", F.lit(i)), 2).alias(f"c{i}") for i in range(4)])
+        return c.select(*_GROUPS, F.size("c").cast("long").alias("n"), *[F.round(F.get("c", F.lit(i)), 2).alias(f"c{i}") for i in range(64)])
 
     return run
 
@@ -74,7 +82,7 @@ def _list_of(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = counters(_lines(spark, sf_dir), _groups(), key_hash(F.col("o_custkey")), [Agg("c", "sum", F.col("l_quantity"))], EXACT)
         out = aggregate_lists(c, {"l_returnflag": F.col("l_returnflag")}, {"w": (kind, F.col("c"))})
-        return out.select("l_returnflag", *[F.round(F.get("w", F.lit(i)), 2).alias(f"c{i}") for i in range(4)])
+        return out.select("l_returnflag", *[F.round(F.get("w", F.lit(i)), 2).alias(f"c{i}") for i in range(64)])
 
     return run
 
@@ -125,10 +133,14 @@ def _comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("c_custkey", *[votes.filter_compare(n, v, F.col("w"), EXACT, 1.5).alias(n) for n in votes.COMPARISONS])
 
 
+#: Noise of a fixed seed, which SQL can draw as well.
+NOISED = Settings(seed=7)
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.transform(F.sequence(F.lit(1), F.lit(128)), lambda i: (F.col("c_custkey") * 3).cast("double"))
+    x = F.transform(F.sequence(F.lit(1), F.lit(128)), lambda i: F.pmod(F.col("c_custkey") * i, F.lit(31)).cast("double"))
     n = F.transform(F.sequence(F.lit(1), F.lit(128)), lambda i: F.pmod(F.col("c_custkey"), F.lit(5)))
-    return read_table(spark, f"{sf_dir}/customer.parquet").select("c_custkey", noise.aggregate_samples(x, n, 1 / 128, 3, EXACT).alias("value"))
+    return read_table(spark, f"{sf_dir}/customer.parquet").select("c_custkey", F.round(noise.aggregate_samples(x, n, NOISED.mi, 3, NOISED), 4).alias("value"))
 
 
 def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,14 +152,18 @@ def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as a stream, in windows of a day."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilspark-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        at = tempfile.mkdtemp(prefix="veilspark-")
     out = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     one_file = len(files := table.inputFiles()) == 1 and files[0].endswith("/events.parquet")
     source = spark.readStream.schema(table.schema)  # streams read folders
     rows = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if one_file else source.parquet(f"{sf_dir}/events.parquet")
-    sums = windowed_worlds(rows, "ts", "1 day", "1 day", key_hash(F.col("user_id")), {"event_type": F.col("event_type")}, F.col("value"), EXACT)
-    q = sums.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/sums")).start()
+    sums = windowed_units(rows, "ts", "1 day", "1 day", key_hash(F.col("user_id")), {"event_type": F.col("event_type")}, F.col("value"))
+    q = sums.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(sink(f"{out}/sums")).start()
     q.awaitTermination()
     r = release(spark.read.parquet(f"{out}/sums"), ["event_type"], EXACT)
     return r.select("start", "event_type", "n", F.round("total", 2).alias("total"))
@@ -187,6 +203,7 @@ _BY = {g: g for g in _GROUPS}
 _REV = "l_extendedprice * (1 - l_discount)"
 
 Q1 = f"SELECT l_returnflag, l_linestatus, round(sum_qty, 2) AS sum_qty, round(sum_base, 1) AS sum_base, round(sum_disc, 1) AS sum_disc, round(sum_charge, 1) AS sum_charge, round(avg_qty, 6) AS avg_qty, round(avg_price, 3) AS avg_price, round(avg_disc, 8) AS avg_disc, n FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base, sum({_REV}) AS sum_disc, sum({_REV} * (1 + l_tax)) AS sum_charge, avg(l_quantity) AS avg_qty, avg(l_extendedprice) AS avg_price, avg(l_discount) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= timestamp'1998-09-02' GROUP BY l_returnflag, l_linestatus)"
+Q1_NOISED = "SELECT l_returnflag, l_linestatus, round(sum_qty, 0) AS sum_qty, round(sum_base, -2) AS sum_base, round(avg_disc, 6) AS avg_disc, n FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base, avg(l_discount) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= timestamp'1998-09-02' GROUP BY l_returnflag, l_linestatus)"
 Q5 = f"SELECT n_name, round(revenue, 1) AS revenue FROM (SELECT n_name, sum({_REV}) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY n_name)"
 Q6 = "SELECT round(revenue, 2) AS revenue FROM (SELECT sum(l_extendedprice * l_discount) AS revenue FROM lineitem WHERE l_shipdate >= timestamp'1994-01-01' AND l_shipdate < timestamp'1997-01-01' AND l_discount BETWEEN 0.02 AND 0.07 AND l_quantity < 24)"
 Q7 = f"SELECT supp_nation, cust_nation, yr, round(revenue, 1) AS revenue FROM (SELECT supp_nation, cust_nation, yr, sum(volume) AS revenue FROM (SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate) AS yr, {_REV} AS volume FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND n1.n_nationkey < 5 AND n2.n_nationkey < 5) GROUP BY supp_nation, cust_nation, yr)"
@@ -204,6 +221,20 @@ HAVING = "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderprio
 TOP = "SELECT o_orderpriority, n FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority) ORDER BY n DESC, o_orderpriority LIMIT 3"
 SEMI = "SELECT count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)"
 CLICKS = "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"
+Q4 = "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= timestamp'1994-01-01' AND o_orderdate < timestamp'1997-01-01' AND EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + interval 60 days) GROUP BY o_orderpriority"
+_PROFIT = f"{_REV} - 0.1 * p_retailprice * l_quantity"
+Q9 = f"SELECT n_name, yr, round(profit, 1) AS profit FROM (SELECT n_name, year(o_orderdate) AS yr, sum({_PROFIT}) AS profit FROM part, supplier, lineitem, orders, nation WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_size > 25 GROUP BY n_name, year(o_orderdate))"
+_HIGH = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END"
+Q12 = f"SELECT l_linestatus, sum({_HIGH}) AS high, sum(1 - {_HIGH}) AS low FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_quantity < 20 GROUP BY l_linestatus"
+_WAITS = "EXISTS (SELECT * FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT * FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_shipdate > l1.l_shipdate)"
+Q21 = f"SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders, nation WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND {_WAITS} AND s_nationkey = n_nationkey AND n_nationkey < 10 GROUP BY s_name"
+# shapes of a web-analytics benchmark over events, whose users are the unit
+CLICK_COUNT = "SELECT count(*) AS n FROM events"
+CLICK_STATS = "SELECT round(sum(value), 2) AS total, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE value <> 0"
+CLICK_USERS = "SELECT count(DISTINCT user_id) AS users FROM events"
+CLICK_RANGE = "SELECT min(ts) AS lo, max(ts) AS hi FROM events"
+CLICK_HOURS = "SELECT h, n FROM (SELECT hour(ts) AS h, count(*) AS n FROM events GROUP BY hour(ts)) ORDER BY n DESC, h LIMIT 10"
+CLICK_KINDS = "SELECT event_type, hour(ts) AS h, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE event_type LIKE '%i%' GROUP BY event_type, hour(ts) HAVING count(*) > 4"
 TWO = "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag"
 
 _C5 = "customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -255,6 +286,69 @@ _ORACLES = {
     "distinct_aggregates": _oracle("l_returnflag, l_linestatus, parts, round(total, 2) AS total", _BY, {"parts": ("count", "l_linenumber"), "total": ("sum", "l_linenumber")}, f"(SELECT DISTINCT l_returnflag, l_linestatus, o_custkey, l_linenumber FROM {_LO})", "o_custkey"),
 }
 
+_ORACLES |= {
+    "q4": _oracle("o_orderpriority, n", {"o_orderpriority": "o_orderpriority"}, {"n": ("count", "1")}, "orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + INTERVAL 60 DAY)", "o_custkey"),
+    "q9": _oracle("n_name, CAST(yr AS INTEGER) AS yr, round(profit, 1) AS profit", {"n_name": "n_name", "yr": "year(o_orderdate)"}, {"profit": ("sum", _PROFIT)}, f"{_LO} JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size > 25", "o_custkey"),
+    "q12": _oracle("l_linestatus, CAST(high AS BIGINT) AS high, CAST(low AS BIGINT) AS low", {"l_linestatus": "l_linestatus"}, {"high": ("sum", _HIGH), "low": ("sum", f"1 - {_HIGH}")}, f"{_LO} WHERE l_quantity < 20", "o_custkey"),
+    "q21": _oracle("s_name, numwait", {"s_name": "s_name"}, {"numwait": ("count", "1")}, f"supplier JOIN lineitem l1 ON s_suppkey = l1.l_suppkey JOIN orders ON o_orderkey = l1.l_orderkey WHERE o_orderstatus = 'F' AND s_nationkey < 10 AND {_WAITS}", "o_custkey"),
+    "click_count": _oracle("n", {}, {"n": ("count", "1")}, "events", "user_id"),
+    "click_stats": _oracle("round(total, 2) AS total, n, round(mean, 6) AS mean", {}, {"total": ("sum", "value"), "n": ("count", "1"), "mean": ("avg", "value")}, "events WHERE value <> 0", "user_id"),
+    "click_users": _oracle("users", {}, {"users": ("count", "user_id")}, "(SELECT DISTINCT user_id FROM events)", "user_id"),
+    "click_range": _oracle("lo, hi", {}, {"lo": ("min", "ts"), "hi": ("max", "ts")}, "events", "user_id"),
+    "click_hours": _oracle("h, n", {"h": "CAST(hour(ts) AS INTEGER)"}, {"n": ("count", "1")}, "events", "user_id", after="ORDER BY n DESC, h LIMIT 10"),
+    "click_kinds": _oracle("event_type, h, n, round(mean, 6) AS mean", {"event_type": "event_type", "h": "CAST(hour(ts) AS INTEGER)"}, {"n": ("count", "1"), "mean": ("avg", "value")}, "events WHERE event_type LIKE '%i%'", "user_id", after="WHERE n > 4"),
+}
+
+
+_SIGNED = "CAST(CASE WHEN {x} >= 9223372036854775808 THEN {x}::HUGEINT - 18446744073709551616 ELSE {x}::HUGEINT END AS BIGINT)"
+
+
+def _s(x: str) -> str:
+    return _SIGNED.format(x=f"({x})")
+
+
+def _bits(what: str, digits: int, s: Settings) -> str:
+    """What `drawn_bits` gives, in SQL."""
+    return f"('0x' || substr(md5('{signed(s.seed_used())}|{signed(s.query_hash)}|' || {what}), 1, {digits}))::UBIGINT"
+
+
+def _uniform(mask: str, draw: int, s: Settings) -> str:
+    return f"((CAST({_bits(f"{mask} || '|{draw}'", 13, s)} AS DOUBLE) + 1) / 4503599627370496)"
+
+
+def _release(worlds: str, mask: str, s: Settings) -> str:
+    """One of a list of numbers, with noise by their variance."""
+    normal = f"sqrt(-2 * ln({_uniform(mask, 1, s)})) * cos(2 * pi() * {_uniform(mask, 2, s)})"
+    return f"({worlds}[CAST({s.query_hash}::UBIGINT % len({worlds})::UBIGINT AS BIGINT) + 1] + sqrt(list_var_samp({worlds}) / (2 * {s.mi})) * {normal})"
+
+
+def _noised_oracle(select: str, groups: dict[str, str], values: dict[str, tuple[str, str]], rows: str, key: str, s: Settings) -> str:
+    """SQL of one private aggregate with noise; no value is null, so all its lists have one mask."""
+    g = ", ".join(f"{e} AS {n}" for n, e in groups.items())
+    names = ", ".join(groups)
+    world = {"count": "CAST(count(v_{n}) AS DOUBLE)", "sum": "sum(v_{n})", "avg": "sum(v_{n})"}
+    mask = _s("m")
+    lists = ", ".join(f"list(w_{n} ORDER BY j) AS l_{n}" for n in values)
+    out = []
+    for n, (k, _) in values.items():
+        x = "2 * " + _release(f"list_transform(l_{n}, lambda x: x / t)" if k == "avg" else f"l_{n}", "k", s)
+        out.append((f"CAST(round({x}) AS BIGINT)" if k == "count" else x) + f" AS {n}")
+    kept = f"64 - bit_count(CAST(k AS BIGINT)) <= CAST({_bits('k', 15, s)} % 64 AS BIGINT)"
+    return f"""
+WITH b AS (SELECT {g}, xor(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 16))::UBIGINT, {s.query_hash}::UBIGINT) AS k, {", ".join(f"{e} AS v_{n}" for n, (_, e) in values.items())} FROM {rows}),
+     t AS (SELECT {names}, count(*) AS t FROM b GROUP BY {names}),
+     w AS (SELECT {names}, j, {", ".join(world[k].format(n=n) + f" AS w_{n}" for n, (k, _) in values.items())} FROM b, (SELECT unnest(range(64)) AS j) WHERE {_BIT} GROUP BY {names}, j),
+     l AS (SELECT {names}, sum(1::HUGEINT << j) AS m, {lists} FROM w GROUP BY {names}),
+     r AS (SELECT *, CAST({mask} AS VARCHAR) AS k FROM l JOIN t USING ({names}))
+SELECT {select} FROM (SELECT {names}, {", ".join(f"CASE WHEN {kept} THEN {x.rsplit(' AS ', 1)[0]} END AS {x.rsplit(' AS ', 1)[1]}" for x in out)} FROM r)
+"""
+
+
+_FIRST = replace(NOISED, query_number=1)
+_ORACLES |= {
+    "q1_noised": _noised_oracle("l_returnflag, l_linestatus, round(sum_qty, 0) AS sum_qty, round(sum_base, -2) AS sum_base, round(avg_disc, 6) AS avg_disc, n", _BY, {"sum_qty": ("sum", "l_quantity"), "sum_base": ("sum", "l_extendedprice"), "avg_disc": ("avg", "l_discount"), "n": ("count", "1")}, f"{_LO} WHERE l_shipdate <= TIMESTAMP '1998-09-02'", "o_custkey", _FIRST),
+}
+
 
 def _counters_oracle(kind: str) -> str:
     x = {"count": "2.0 * nullif(count(v), 0)", "sum": "2 * sum(v)", "avg": "2 * sum(v) / any_value(n)", "min": "min(v)", "max": "max(v)"}[kind]
@@ -262,7 +356,7 @@ def _counters_oracle(kind: str) -> str:
 WITH b AS (SELECT l_returnflag, l_linestatus, {_h("o_custkey")} AS k, l_quantity AS v FROM {_LO}),
      t AS (SELECT l_returnflag, l_linestatus, count(v) AS n FROM b GROUP BY 1, 2),
      w AS (SELECT l_returnflag, l_linestatus, j, {x} AS x FROM b JOIN t USING (l_returnflag, l_linestatus), (SELECT unnest(range(64)) AS j) WHERE {_BIT} GROUP BY 1, 2, 3)
-SELECT l_returnflag, l_linestatus, CAST(64 AS BIGINT) AS n, {", ".join(f"round(max(x) FILTER (WHERE j = {i}), 2) AS c{i}" for i in range(4))} FROM w GROUP BY 1, 2
+SELECT l_returnflag, l_linestatus, CAST(64 AS BIGINT) AS n, {", ".join(f"round(max(x) FILTER (WHERE j = {i}), 2) AS c{i}" for i in range(64))} FROM w GROUP BY 1, 2
 """
 
 
@@ -272,7 +366,7 @@ def _list_oracle(kind: str) -> str:
 WITH b AS (SELECT l_returnflag, l_linestatus, {_h("o_custkey")} AS k, l_quantity AS v FROM {_LO}),
      w AS (SELECT l_returnflag, l_linestatus, j, 2 * sum(v) AS x FROM b, (SELECT unnest(range(64)) AS j) WHERE {_BIT} GROUP BY 1, 2, 3),
      l AS (SELECT l_returnflag, j, {x} AS y FROM w GROUP BY 1, 2)
-SELECT l_returnflag, {", ".join(f"round(max(y) FILTER (WHERE j = {i}), 2) AS c{i}" for i in range(4))} FROM l GROUP BY 1
+SELECT l_returnflag, {", ".join(f"round(max(y) FILTER (WHERE j = {i}), 2) AS c{i}" for i in range(64))} FROM l GROUP BY 1
 """
 
 
@@ -282,11 +376,16 @@ WITH c AS (SELECT c_custkey, {_K} AS k FROM customer),
      w AS (SELECT c_custkey, k, j, CASE WHEN {_BIT} THEN CAST(c_custkey * (j + 1) % 97 AS DOUBLE) END AS x FROM c, (SELECT unnest(range(64)) AS j)),
      s AS (SELECT c_custkey, any_value(k) AS k, sum(CASE WHEN x > 30 THEN 1::HUGEINT << j ELSE 0 END) AS m, count(*) FILTER (WHERE x IS NULL OR x > 5) AS l, arg_min(x, j) FILTER (WHERE x IS NOT NULL) AS f FROM w GROUP BY c_custkey)
 """
-_SIGNED = "CAST(CASE WHEN {x} >= 9223372036854775808 THEN {x}::HUGEINT - 18446744073709551616 ELSE {x}::HUGEINT END AS BIGINT)"
 
 
-def _s(x: str) -> str:
-    return _SIGNED.format(x=f"({x})")
+
+
+def _two(k: str) -> str:
+    """The count over two units; k: how their hashes meet, before the query's."""
+    own = lambda c: f"('0x' || substr(md5(CAST({c} AS VARCHAR)), 1, 16))::UBIGINT"
+    again = own(_s(own("l_suppkey")))
+    key = k.format(a=own("o_custkey"), a_own=own("o_custkey"), b=again, c=own("l_suppkey"))
+    return _oracle("l_returnflag, n", {"l_returnflag": "l_returnflag"}, {"n": ("count", "1")}, _LO, "o_custkey").replace(_h("o_custkey"), f"xor({key}, {Q}::UBIGINT)")
 
 
 _ORACLES |= {f"{k}_counters": _counters_oracle(k) for k in ("count", "sum", "avg", "min", "max")}
@@ -295,7 +394,10 @@ _ORACLES |= {
     "votes": f"""{_W} SELECT c_custkey, {_s("m")} AS mask, bit_count(k) >= 32 AS by_mask, bit_count(k) * (CASE WHEN c_custkey % 2 = 0 THEN 2.0 ELSE 1.0 END) >= 32 AS by_corrected, l >= 32 AS by_list,
        {_s("k & m::UBIGINT")} AS both, {_s("k | m::UBIGINT")} AS either, {_s("xor(k, 18446744073709551615::UBIGINT)")} AS neither, CAST(64 AS BIGINT) AS filled, round(f, 4) AS released FROM s""",
     "comparisons": f"""{_W} SELECT c_custkey, {", ".join(f"count(*) FILTER (WHERE c_custkey % 97 {o} x) * 1.5 >= 32 AS {n}" for n, o in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<="), ("eq", "="), ("neq", "<>")))} FROM w GROUP BY c_custkey""",
-    "samples": "SELECT c_custkey, CASE WHEN c_custkey % 5 >= 3 THEN CAST(c_custkey * 3 AS DOUBLE) END AS value FROM customer",
+    "samples": f"""WITH x AS (SELECT c_custkey, list_transform(range(1, 129), lambda i: CAST(c_custkey * i % 31 AS DOUBLE)) AS x FROM customer)
+       SELECT c_custkey, CASE WHEN c_custkey % 5 >= 3 THEN round({_release("x", "array_to_string(list_transform(x, lambda v: CAST(CAST(v AS DECIMAL(38, 6)) AS VARCHAR)), ',')", NOISED)}, 4) END AS value FROM x""",
+    "two_units": _two("xor({a}, {b})"),
+    "two_units_and": _two("{a_own} & {c}"),
     "utility_diff": "WITH p AS (" + _oracle("*", {"l_returnflag": "l_returnflag"}, {"n": ("count", "1"), "q": ("sum", "l_quantity")}, _LO, "o_custkey") + "), e AS (SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT l_returnflag, CAST(round(100 * abs(e.n - p.n) / e.n) AS BIGINT) AS n, round(100 * abs(e.q - p.q) / abs(e.q), 4) AS q FROM p JOIN e USING (l_returnflag)",
     "streamed_windows": _oracle("start, event_type, n, round(total, 2) AS total", {"start": "date_trunc('day', ts)", "event_type": "event_type"}, {"n": ("count", "value"), "total": ("sum", "value")}, "events", "user_id"),
 }
@@ -307,7 +409,9 @@ def queries() -> dict[str, Query]:
     out |= {f"{k}_counters": _counters(k) for k in ("count", "sum", "avg", "min", "max")}
     out |= {f"{k}_list": _list_of(k) for k in ("count", "sum", "avg", "min", "max")}
     out |= {"votes": _votes, "comparisons": _comparisons, "samples": _samples, "utility_diff": _diff, "streamed_windows": _stream}
-    out |= {"q1_noised": _sql(Q1, settings=Settings(seed=7)), "two_units": _sql(TWO, two_units)}
+    out |= {"q1_noised": _sql(Q1_NOISED, settings=NOISED), "two_units": _sql(TWO, two_units), "two_units_and": _sql(TWO, two_units, pac_conjunctive_units="true")}
+    out |= {"q4": _sql(Q4), "q9": _sql(Q9), "q12": _sql(Q12), "q21": _sql(Q21)}
+    out |= {"click_count": _sql(CLICK_COUNT), "click_stats": _sql(CLICK_STATS), "click_users": _sql(CLICK_USERS), "click_range": _sql(CLICK_RANGE), "click_hours": _sql(CLICK_HOURS), "click_kinds": _sql(CLICK_KINDS)}
     return out
 
 
