@@ -1,28 +1,37 @@
 """PII: surrogate generation, in DataFrame functions only.
 
-Detected entities (mail addresses, IPv4 addresses, phone, card and social security numbers, IBANs, secrets, names after
-a title) are replaced by surrogates of the same type and format. A surrogate is a function of a key and the entity's
-canonical form, so the same entity has the same surrogate everywhere. Numbers go through a keyed Feistel permutation of
-their digits, which is one-to-one by construction and keeps separators, country code and the state of the check digit.
-Names keep title (and so gender), script, case and number of words; mail addresses keep case and top-level domain;
-secrets, of any length and with the parts that follow after a dot, keep length and case. Surrogates that aren't
-one-to-one by construction are checked over the whole corpus: of entities that share a surrogate all but the smallest
-take another attempt, until every surrogate has one entity.
+Detected entities (mail addresses, IPv4 addresses, phone and social security numbers, card numbers with a right check
+digit, IBANs, secrets, names after a title) are replaced by surrogates of the same type and format. A surrogate is a
+function of a secret key and the entity's canonical form, so the same entity has the same surrogate everywhere. Numbers
+go through a keyed Feistel permutation of their digits, which is one-to-one by construction and keeps separators and
+country code; a card's check digit is made right again. IBANs keep country, blanks, the kind of each character and
+whether the check digits are right. Names keep title (and so gender), script, case and number of words; a surname has
+one surrogate with every title and given name, and a full name that a text has after a title is replaced where it
+stands without one, too. Mail addresses keep case and top-level domain; secrets, of any length and with the parts that
+follow after a dot, keep length and case. Surrogates that aren't one-to-one by construction are checked over the whole
+corpus, against each other and against all entities that are detected: those that meet another are drawn again, until
+every surrogate has one entity. A permuted number may be another real number, as any number of its format may.
+
+The key is a secret, as permuted numbers can be undone with it: it comes from the caller or from the session's setting
+`spark.veilspark.surrogates.secret`; without either a session draws one of its own, so two sessions differ.
 
 Defined results: a null text stays null, a text without entities stays as it is; rows repeat as they come; null ids
-are kept. All columns of the input are kept, so none may be dropped by a clash: working columns begin with `__p_`.
+are kept. All columns of the input are kept; working columns take names that it doesn't have. All patterns take time in
+proportion to the text, whatever it holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import join_sized, settle
 
-KEY = "surrogate-key"
-#: Times that colliding surrogates are drawn anew before the key is given up.
-ATTEMPTS = 12
+SETTING = "spark.veilspark.surrogates.secret"
+#: Times that colliding surrogates are drawn anew before the space of surrogates counts as too small.
+ATTEMPTS = 1_000
 
 _TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "госпожа"]
 _TITLES_M = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин"]
@@ -41,13 +50,15 @@ _SYLLABLES = ["ba", "de", "fi", "go", "lu", "ma", "ne", "pi", "ro", "su", "ta",
 _SYLLABLES_CYRILLIC = ["ба", "де", "фи", "го", "лу", "ма", "не", "пи", "ро", "су", "та", "ве", "ви", "зо", "ка", "ле"]
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-MAIL = r"[A-Za-z0-9À-ɏ._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+_LOCAL = r"[A-Za-z0-9À-ɏ._%+-]"
+# from the start of a run and never back into it, so that long runs without the sign cost one look each
+MAIL = rf"(?<!{_LOCAL}){_LOCAL}++@(?=[A-Za-z0-9.-]*?\.[A-Za-z]{{2}})[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{1,40}}+"
 IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9])(?!\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))[ ]*[=:][ ]*\"?[A-Za-z0-9_+/=-]{12,}+(?:\.[A-Za-z0-9_+/=-]++)*+\"?"
+SECRET = r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))[ ]*[=:][ ]*\"?(?=[A-Za-z0-9_+/=-]{12})[A-Za-z0-9_+/=.-]*[A-Za-z0-9_+/=-]\"?"
 NAME = r"(?<![\p{L}])(?:" + "|".join(_TITLES_F + _TITLES_M + _TITLES_N) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
 #: In the order in which a place is tried.
 ENTITY = "|".join([SECRET, MAIL, IP, SSN, PHONE, IBAN, CARD, NAME])
@@ -89,7 +100,7 @@ def describe(e: Column) -> Column:
     """Kind, canonical form, the part before the replaced one, and what to permute."""
     is_ = lambda p: F.rlike(e, F.lit(_whole(p)))
     kind = (
-        F.when(is_(SECRET), "secret").when(F.contains(e, F.lit("@")), "mail").when(is_(IP), "ip").when(is_(SSN), "ssn").when(is_(PHONE), "phone").when(is_(IBAN), "iban").when(is_(CARD), "card").otherwise("name")
+        F.when(is_(SECRET), "secret").when(F.contains(e, F.lit("@")), "mail").when(is_(IP), "ip").when(is_(SSN), "ssn").when(is_(PHONE), "phone").when(is_(IBAN), "iban").when(is_(CARD), F.when(_luhn(_digits(e), 0) % 10 == 0, "card").otherwise("number")).otherwise("name")
     )
     return F.struct(kind.alias("kind"), e.alias("e"))
 
@@ -100,7 +111,7 @@ def _prepare(s: Column) -> Column:
     secret_head = F.regexp_extract(e, r"^([^=:]*[=:][ ]*\"?)", 1)
     country = F.regexp_extract(e, r"^(\+[0-9]{1,3}(?=[^0-9]))", 1)
     title = F.regexp_extract(e, r"^([^ ]+ )", 1)
-    head = F.when(kind == "secret", secret_head).when(kind == "phone", country).when(kind == "iban", F.substring(e, 1, 4)).when(kind == "name", title).otherwise(F.lit(""))
+    head = F.when(kind == "secret", secret_head).when(kind == "phone", country).when(kind == "iban", F.substring(e, 1, 2)).when(kind == "name", title).otherwise(F.lit(""))
     return F.struct(kind.alias("kind"), head.alias("head"), e.alias("e"))
 
 
@@ -114,8 +125,7 @@ def _canonical(s: Column) -> Column:
     kind, body = s["kind"], s["body"]
     digits = _digits(body)
     plain = F.lower(body)
-    gender = F.when(kind == "name", F.regexp_replace(F.trim(s["head"]), F.lit(r"\."), F.lit("")))
-    canon = F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.concat(s["head"], F.upper(F.replace(body, F.lit(" "), F.lit(""))))).when(kind == "name", F.concat_ws(":", gender, plain)).when(kind == "secret", body).otherwise(plain)
+    canon = F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.concat(s["head"], F.upper(F.replace(body, F.lit(" "), F.lit(""))))).when(kind == "name", F.substring_index(plain, " ", -1)).when(kind == "secret", body).otherwise(plain)
     # the permuted number: of a card all digits but the check digit
     num = F.when(kind == "card", F.substr(digits, F.lit(1), F.length(digits) - 1)).when(kind.isin("phone", "ssn"), digits).otherwise(F.lit(""))
     a = F.floor(F.length(num) / 2).cast("int")
@@ -170,23 +180,63 @@ def _permuted(s: Column) -> Column:
     return F.struct(*rest, F.when(n > 0, joined).otherwise(F.lit("")).alias("new"))
 
 
-def _name(body: Column, title: Column, h: Column) -> Column:
+def _family(parts: list[str], h: Column, n: int = 6) -> Column:
+    places = [F.conv(F.substring(h, 30 + i, 1), 16, 10).cast("int") + 1 for i in range(n)]
+    return F.initcap(F.concat(*[F.element_at(F.array(*map(F.lit, parts)), p) for p in places]))
+
+
+def _surname(body: Column, title: Column, h: Column) -> Column:
+    """h: hash of the surname alone, so that it has one surrogate with any title and given name."""
+    female = F.regexp_replace(F.trim(title), F.lit(r"\."), F.lit("")).isin(*_TITLES_F)
+    cyrillic = F.concat(_family(_SYLLABLES_CYRILLIC, h), F.when(female, "ва").otherwise("в"))
+    return F.when(F.rlike(body, F.lit(r"\p{IsCyrillic}")), cyrillic).otherwise(_family(_SYLLABLES, h))
+
+
+def _given(body: Column, title: Column, h: Column, attempt: Column) -> Column:
+    """A given name of the title's gender; one that is drawn again has a second part, as there are few."""
     bare = F.regexp_replace(F.trim(title), F.lit(r"\."), F.lit(""))
     g = F.when(bare.isin(*_TITLES_F), "f").when(bare.isin(*_TITLES_M), "m").otherwise("n")
-    cyrillic = F.rlike(body, F.lit(r"\p{IsCyrillic}"))
-    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (F.pmod(_number(h, at), F.lit(len(names))) + 1).cast("int"))
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.pmod(_number(h), F.lit(len(names))) + 1).cast("int"))
+
+    def one(table: dict[str, list[str]], parts: list[str]) -> Column:
+        first = F.when(g == "f", pick(table["f"])).when(g == "m", pick(table["m"])).otherwise(pick(table["n"]))
+        return F.when(attempt == 0, first).otherwise(F.concat(first, F.lit("-"), _family(parts, h)))
+
+    return F.when(F.rlike(body, F.lit(r"\p{IsCyrillic}")), one(_GIVEN_CYRILLIC, _SYLLABLES_CYRILLIC)).otherwise(one(_GIVEN, _SYLLABLES))
+
+
+def _mod97(text: Column) -> Column:
+    """An IBAN's number modulo 97: its characters as they stand, letters as 10 to 35."""
+
+    def step(acc: Column, c: Column) -> Column:
+        letter = F.pmod(acc * 100 + F.ascii(c) - 55, F.lit(97))
+        return F.when(c == "", acc).when(F.rlike(c, F.lit("[0-9]")), F.pmod(acc * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(letter).cast("int")
 
-    def by_gender(table: dict[str, list[str]]) -> Column:
-        return F.when(g == "f", pick(table["f"], 1)).when(g == "m", pick(table["m"], 1)).otherwise(pick(table["n"], 1))
+    return F.aggregate(F.split(text, F.lit("")), F.lit(0), step)
 
-    def family(parts: list[str]) -> Column:
-        places = [F.conv(F.substring(h, 30 + i, 1), 16, 10).cast("int") + 1 for i in range(6)]
-        return F.initcap(F.concat(*[F.element_at(F.array(*map(F.lit, parts)), p) for p in places]))
 
-    surname = F.when(cyrillic, F.concat(family(_SYLLABLES_CYRILLIC), F.when(g == "f", "ва").otherwise("в"))).otherwise(family(_SYLLABLES))
-    given = F.when(cyrillic, by_gender(_GIVEN_CYRILLIC)).otherwise(by_gender(_GIVEN))
-    full = F.when(F.contains(body, F.lit(" ")), F.concat_ws(" ", given, surname)).otherwise(surname)
-    return F.when(body == F.upper(body), F.upper(full)).otherwise(full)
+def _let(value: Column, body) -> Column:
+    """Binds a value, so that its expression isn't repeated."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _iban(country: Column, body: Column, draws: Column) -> Column:
+    """body: check digits and what follows, perhaps with blanks. Each character keeps its kind, the check digits their state.
+
+    draws: 3 hex digits for each character.
+    """
+
+    def new(c: Column, i: Column) -> Column:
+        return _let(F.conv(F.substr(draws, i * 3 + 1, F.lit(3)), 16, 10).cast("int"), lambda x: F.when(c.isin("", " "), c).when(F.rlike(c, F.lit("[0-9]")), F.pmod(x, F.lit(10)).cast("string")).otherwise(F.char(F.pmod(x, F.lit(26)) + 65)))
+
+    def checked(rest: Column) -> Column:
+        plain = F.replace(body, F.lit(" "), F.lit(""))
+        state = _mod97(F.concat(F.substr(plain, F.lit(3)), country, F.substring(plain, 1, 2)))
+        base = _mod97(F.concat(F.replace(rest, F.lit(" "), F.lit("")), country, F.lit("00")))
+        check = _let(F.pmod(state - base, F.lit(97)), lambda c: F.when(c < 2, c + 97).otherwise(c))
+        return F.concat(F.lpad(check.cast("string"), 2, "0"), rest)
+
+    return _let(F.array_join(F.transform(F.split(F.substr(body, F.lit(3)), F.lit("")), new), ""), checked)
 
 
 def _mail(body: Column, h: Column, key: str) -> Column:
@@ -203,92 +253,153 @@ def _stream(body: Column, h: Column, key: str) -> Column:
     return F.when(body == F.upper(body), F.upper(new)).otherwise(new)
 
 
-def _finished(s: Column, key: str, attempt: Column, space: int | None) -> Column:
-    """struct<kind, canon, out>: the replacement of the whole entity. space: test bound of the hashed kinds' values."""
-    kind, body, new = s["kind"], s["body"], s["new"]
-    h = _hash(key, kind, s["canon"], attempt)
-    if space:
-        h = _hash(key, F.pmod(_number(h), F.lit(space)))
-    check = F.substr(s["digits"], F.length(s["digits"]), F.lit(1)).cast("int")
-    # the check digit stays right or wrong by as much as it was
-    last = F.pmod(check + _luhn(s["num"], 1) - _luhn(new, 1), F.lit(10)).cast("string")
-    ip = F.concat_ws(".", F.floor(s["l"] / 256).cast("string"), F.pmod(s["l"], F.lit(256)).cast("string"), F.floor(s["r"] / 256).cast("string"), F.pmod(s["r"], F.lit(256)).cast("string"))
-    out = (
-        F.when(kind.isin("phone", "ssn"), _fill(body, new))
-        .when(kind == "card", _fill(body, F.concat(new, last)))
-        .when(kind == "ip", ip)
-        .when(kind == "mail", _mail(body, h, key))
-        .when(kind == "name", _name(body, s["head"], h))
-        .when(kind == "iban", F.upper(_stream(F.upper(body), h, key)))
-        .otherwise(_stream(body, h, key))
-    )
-    return F.struct(kind.alias("kind"), s["canon"].alias("canon"), F.concat(s["head"], out, s["tail"]).alias("out"))
+def _kept(s: Column, *names: str) -> list[Column]:
+    return [s[n].alias(n) for n in names]
 
 
-def surrogates(found: Column, key: str = KEY, attempts: Column | None = None, space: int | None = None) -> Column:
-    """For an array of entities the array of struct<kind, canon, out>; attempts: map from `kind:canon` to an attempt."""
-    x = F.transform(found, describe)
-    for step in (_prepare, _bodied, _canonical):
-        x = F.transform(x, step)
-    for i in range(6):
-        x = F.transform(x, _rounds(key, i))
-    x = F.transform(x, _permuted)
+def _named(attempts: Column | None):
+    """Adds the ids of what may collide, of a full name's given part too, and how often each was drawn."""
 
-    def last(s: Column) -> Column:
-        attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws(":", s["kind"], s["canon"])), F.lit(0))
-        return _finished(s, key, attempt, space)
+    def step(s: Column) -> Column:
+        full = (s["kind"] == "name") & F.contains(s["body"], F.lit(" "))
+        own, given = F.concat_ws(":", s["kind"], s["canon"]), F.when(full, F.concat(F.lit("given:"), F.lower(s["body"])))
+        tried = lambda name: F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, name), F.lit(0))
+        return F.struct(*_kept(s, "kind", "head", "body", "tail", "canon", "num", "digits", "l", "r", "new"), own.alias("own"), given.alias("given"), tried(own).alias("a"), F.when(full, tried(given)).alias("ag"))
 
-    return F.transform(x, last)
+    return step
 
 
-def collisions(docs: DataFrame, key: str = KEY, space: int | None = None) -> DataFrame:
-    """id (`kind:canon`) and attempt of the entities whose surrogate another one has at a smaller attempt.
+def _drawn(key: str, space: int | None):
+    """Adds a hash for each id; space: test bound of their values."""
 
-    Only kinds that aren't permuted can collide; those are made distinct over the whole corpus.
-    """
+    def step(s: Column) -> Column:
+        def draw(name: str, attempt: str) -> Column:
+            h = _hash(key, s[name], s[attempt])
+            return _hash(key, F.pmod(_number(h), F.lit(space))) if space else h
+
+        return F.struct(*_kept(s, "kind", "head", "body", "tail", "canon", "num", "digits", "l", "r", "new", "own", "given", "a", "ag"), draw("own", "a").alias("h"), F.when(s["given"].isNotNull(), draw("given", "ag")).alias("hg"))
+
+    return step
+
+
+def _replaced(key: str):
+    """Adds the surrogate: `out` of the body, and a surname without its gender's ending."""
+
+    def step(s: Column) -> Column:
+        kind, body, new, h = s["kind"], s["body"], s["new"], s["h"]
+        last = F.pmod(-_luhn(new, 1), F.lit(10)).cast("string")
+        ip = F.concat_ws(".", F.floor(s["l"] / 256).cast("string"), F.pmod(s["l"], F.lit(256)).cast("string"), F.floor(s["r"] / 256).cast("string"), F.pmod(s["r"], F.lit(256)).cast("string"))
+        surname = _surname(body, s["head"], h)
+        name = F.concat_ws(" ", F.when(s["given"].isNotNull(), _given(body, s["head"], s["hg"], s["ag"])), surname)
+        draws = F.concat(_hash(key + "/iban", F.lit(1), h), _hash(key + "/iban", F.lit(2), h))
+        out = (
+            F.when(kind.isin("phone", "ssn"), _fill(body, new))
+            .when(kind == "card", _fill(body, F.concat(new, last)))
+            .when(kind == "ip", ip)
+            .when(kind == "mail", _mail(body, h, key))
+            .when(kind == "name", _let(name, lambda n: F.when(body == F.upper(body), F.upper(n)).otherwise(n)))
+            .when(kind == "iban", _let(draws, lambda d: _iban(s["head"], body, d)))
+            .when(kind == "number", body)
+            .otherwise(_stream(body, h, key))
+        )
+        bare = F.when(kind == "name", F.lower(_surname(body, F.lit(""), h)))
+        return F.struct(*_kept(s, "kind", "head", "body", "tail", "canon", "own", "given", "a", "ag"), out.alias("out"), bare.alias("bare"))
+
+    return step
+
+
+def _finished(s: Column) -> Column:
+    """struct<kind, head, body, new, out, ids>: ids has, for what may collide, its id, what stood there, what does now, and the attempt."""
+    kind, out = s["kind"], s["out"]
+    plain = lambda x: F.lower(F.replace(x, F.lit(" "), F.lit("")))
+    of = lambda name, was, now, a: F.struct(name.alias("id"), was.alias("was"), now.alias("now"), a.alias("attempt"))
+    tag = F.concat(kind, F.lit(":"), F.when(kind == "iban", F.lower(s["head"])).otherwise(F.lit("")))
+    own = of(s["own"], F.concat(tag, F.when(kind == "name", s["canon"]).otherwise(plain(s["body"]))), F.concat(tag, F.coalesce(s["bare"], plain(out))), s["a"])
+    given = of(s["given"], F.concat(F.lit("given:"), plain(s["body"])), F.concat(F.lit("given:"), plain(out)), s["ag"])
+    ids = F.when(s["given"].isNotNull(), F.array(own, given)).when(kind.isin("mail", "secret", "iban", "name"), F.array(own))
+    return F.struct(kind.alias("kind"), s["body"].alias("body"), out.alias("new"), F.concat(s["head"], out, s["tail"]).alias("out"), ids.alias("ids"))
+
+
+def surrogates(found: Column, key: str, attempts: Column | None = None, space: int | None = None) -> Column:
+    """For an array of entities the array of what `_finished` gives; attempts: map from an id to an attempt."""
+    x = F.transform(found, describe)
+    for step in (_prepare, _bodied, _canonical, *(_rounds(key, i) for i in range(6)), _permuted, _named(attempts), _drawn(key, space), _replaced(key), _finished):
+        x = F.transform(x, step)  # each step binds what the next one uses more than once
+    return x
+
+
+def collisions(docs: DataFrame, key: str, space: int | None = None) -> DataFrame:
+    """id and attempt of what had to be drawn again, over the whole corpus; permuted kinds can't collide."""
     each = docs.select(F.explode(entities_of(F.col("text"))).alias("e")).where(~F.rlike("e", F.lit(_whole(f"{IP}|{SSN}|{PHONE}|{CARD}"))))
-    known = settle(each.groupBy("e").agg(F.count("*").alias("n")).drop("n").withColumn("attempt", F.lit(0)))
+    known = settle(each.groupBy("e").agg(F.count("*").alias("n")).select("e", F.lit(None).cast("map<string,int>").alias("attempts")))
     for _ in range(ATTEMPTS):
-        # one form of each entity stands for all: case is no part of what is compared
-        drawn = known.select("e", "attempt", surrogates(F.array("e"), key, None, space)[0].alias("s")) if _ == 0 else _redrawn(known, key, space)
-        ids = drawn.select("e", "attempt", F.concat_ws(":", "s.kind", "s.canon").alias("id"), F.lower(F.concat_ws(":", "s.kind", "s.out")).alias("out"))
-        owners = ids.groupBy("out").agg(F.min(F.struct("attempt", "id")).alias("own"), F.countDistinct("id").alias("n")).where("n > 1")
-        lost = settle(ids.join(owners, "out").where(F.col("id") != F.col("own.id")).select("id").distinct())
+        pairs = known.select("e", F.explode(surrogates(F.array("e"), key, F.col("attempts"), space)[0]["ids"]).alias("x")).select("e", "x.*")
+        owners = pairs.groupBy("now").agg(F.min(F.struct("attempt", "id")).alias("own"), F.count_distinct("id").alias("n")).where("n > 1")
+        of_others = pairs.join(owners, "now").where(F.col("id") != F.col("own.id")).select("id")
+        of_real = pairs.alias("a").join(pairs.select(F.col("was").alias("real")).distinct(), F.col("a.now") == F.col("real"), "left_semi").select("id")
+        lost = settle(of_others.union(of_real).distinct())
         if lost.isEmpty():
             break
-        known = settle(ids.join(lost.withColumn("__lost", F.lit(1)), "id", "left").select("e", (F.col("attempt") + F.coalesce("__lost", F.lit(0))).alias("attempt")))
+        tries = pairs.join(lost.withColumn("lost", F.lit(1)), "id", "left").select("e", "id", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))
+        # an entity has two ids at most
+        known = settle(tries.groupBy("e").agg(F.map_from_entries(F.collect_set(F.struct("id", "attempt"))).alias("attempts")))
     else:
-        raise ValueError("surrogates still collide; take another key")
-    return settle(ids.where("attempt > 0").select("id", "attempt").distinct())
+        raise ValueError("surrogates still collide: there are too few of them")
+    return settle(pairs.where("attempt > 0").select("id", "attempt").distinct())
+
+
+def secret_of(spark: SparkSession, key: str | None = None) -> str:
+    """The key given, or the session's; a session without one draws it once."""
+    if key is None:
+        key = spark.conf.get(SETTING, None)
+    if key is None:
+        key = secrets.token_hex(32)
+        spark.conf.set(SETTING, key)
+    return key
+
+
+def _bare_names(parts: Column, new: Column) -> Column:
+    """The stretches between entities, with full names replaced that stand after a title elsewhere in the text."""
+    names = F.filter(new, lambda s: (s["kind"] == "name") & F.contains(s["body"], F.lit(" ")))
 
+    def one(p: Column) -> Column:
+        return F.aggregate(names, p, lambda acc, s: F.when(F.contains(acc, s["body"]), F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}])\Q"), s["body"], F.lit(r"\E(?![\p{L}])")), s["new"])).otherwise(acc))
 
-def _redrawn(known: DataFrame, key: str, space: int | None) -> DataFrame:
-    base = known.select("e", "attempt", F.transform(surrogates(F.array("e"), key, None, space), lambda s: F.concat_ws(":", s["kind"], s["canon"]))[0].alias("id"))
-    return base.select("e", "attempt", surrogates(F.array("e"), key, F.create_map("id", "attempt"), space)[0].alias("s"))
+    return F.when(F.size(names) > 0, F.transform(parts, one)).otherwise(parts)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, space: int | None = None) -> DataFrame:
-    """The rows of docs with `text` replaced, and `__p_n`, the number of entities replaced in it."""
+def pseudonymise(docs: DataFrame, key: str | None = None, space: int | None = None, count: str = "n_entities") -> DataFrame:
+    """The rows of docs with `text` replaced, and `count`, the number of entities replaced in it."""
+    if count in docs.columns:
+        raise ValueError(f"the input has a column {count}; name the count differently")
+    key = secret_of(docs.sparkSession, key)
+    p = "__p"
+    while any(c.startswith(p) for c in docs.columns):
+        p = "_" + p
     fixes = collisions(docs, key, space)
-    found = docs.withColumn("__p_found", entities_of(F.col("text")))
+    found = docs.withColumn(f"{p}_found", entities_of(F.col("text")))
     attempts = None
     n_fixes = fixes.count()
     if n_fixes:
         # the attempts of each document that holds a redrawn entity
-        rows = docs.select(F.xxhash64("text").alias("__p_h"), F.sha1("text").alias("__p_s"), entities_of(F.col("text")).alias("f")).where("size(f) > 0")
-        ids = rows.select("__p_h", "__p_s", F.explode(F.transform(surrogates(F.col("f"), key, None, space), lambda s: F.concat_ws(":", s["kind"], s["canon"]))).alias("id")).distinct()
-        per = join_sized(ids, fixes, "id", rows=n_fixes).groupBy("__p_h", "__p_s").agg(F.map_from_entries(F.collect_set(F.struct("id", "attempt"))).alias("__p_at"))
-        found = found.withColumns({"__p_h": F.xxhash64("text"), "__p_s": F.sha1("text")})
-        found = join_sized(found, settle(per), ["__p_h", "__p_s"], "left")
-        attempts = F.col("__p_at")
-    found = found.withColumn("__p_new", surrogates(F.col("__p_found"), key, attempts, space))
-    parts = F.split("text", F.lit(ENTITY), -1)
-    replaced = F.array_join(F.zip_with(parts, F.transform("__p_new", lambda s: s["out"]), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    n = F.coalesce(F.size("__p_found"), F.lit(0))
+        rows = docs.select(F.xxhash64("text").alias(f"{p}_h"), F.sha1("text").alias(f"{p}_s"), entities_of(F.col("text")).alias("f")).where("size(f) > 0")
+        named = F.transform(F.flatten(F.transform(surrogates(F.col("f"), key, None, space), lambda s: F.coalesce(s["ids"], F.array().cast("array<struct<id:string,was:string,now:string,attempt:int>>")))), lambda x: x["id"])
+        ids = rows.select(f"{p}_h", f"{p}_s", F.explode(named).alias("id")).distinct()
+        per = join_sized(ids, fixes, "id", rows=n_fixes).groupBy(f"{p}_h", f"{p}_s").agg(F.map_from_entries(F.collect_set(F.struct("id", "attempt"))).alias(f"{p}_at"))
+        found = found.withColumns({f"{p}_h": F.xxhash64("text"), f"{p}_s": F.sha1("text")})
+        found = join_sized(found, settle(per), [f"{p}_h", f"{p}_s"], "left")
+        attempts = F.col(f"{p}_at")
+    found = found.withColumn(f"{p}_new", surrogates(F.col(f"{p}_found"), key, attempts, space))
+    parts = _bare_names(F.split("text", F.lit(ENTITY), -1), F.col(f"{p}_new"))
+    replaced = F.array_join(F.zip_with(parts, F.transform(f"{p}_new", lambda s: s["out"]), lambda x, s: F.concat(x, F.coalesce(s, F.lit("")))), "")
+    n = F.size(F.filter(f"{p}_new", lambda s: s["kind"] != "number"))
     text = F.when(n > 0, replaced).otherwise(F.col("text"))
-    return found.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], F.greatest(n, F.lit(0)).cast("long").alias("__p_n"))
+    return found.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("long").alias(count))
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     """The rows of docs, columns as they are, with surrogates in `text`."""
-    return pseudonymise(docs, key).drop("__p_n")
+    count = "n_entities"
+    while count in docs.columns:
+        count = "_" + count
+    return pseudonymise(docs, key, count=count).drop(count)

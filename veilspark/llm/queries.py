@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilspark.llm import ann, bpe, decontaminate, jaccard, licenses, pii, quality, suffix_dedup, toxicity, warc
 
@@ -54,7 +53,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_t(spark, sf_dir, "documents")).select("doc_id", "text", F.col("__p_n").alias("n_entities"))
+    return pii.pseudonymise(_t(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
