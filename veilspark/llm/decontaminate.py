@@ -1,12 +1,12 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame functions only.
 
 A window is `window` consecutive words of an item (the whole item if it is shorter); a document holds the window if its
-words stand there in a row. Windows are taken as sequences of word shingles. The one scan of the corpus that is large
-finds the occurrences of any benchmark shingle; their counts give the rarity order. For full containment one token is
-a necessary prefix: a window can occur only where its rarest shingle does, and not at all if that has no occurrence.
-These occurrences, moved by the shingle's place in the window and held to the document's bounds, are the candidates;
-on each candidate's diagonal (document place minus item place) runs of consecutive equal shingles are then measured,
-and a run at least as long as the window is an exact occurrence.
+words stand there in a row. Windows are taken as sequences of word shingles. A first scan of the corpus only counts the
+benchmark's shingles, which gives the rarity order. For full containment one token is a necessary prefix: a window can
+occur only where its rarest shingle does, and not at all if one of its shingles has no occurrence. So the join of the
+second scan takes the prefix shingles alone; their occurrences, moved by the shingle's place in the window and held to
+the document's bounds, are the candidates. In the documents that have any, the words at each candidate are compared
+with the window's.
 
 Defined results: a null text has no words, as an empty one, and a null item takes no part; an item_id that several
 items have counts once; rows of documents repeat as they come; a null doc_id is kept. Extra columns stay in `clean`
@@ -49,42 +49,44 @@ def _shingles(rows: DataFrame, keep: list[str], k: int) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
-    """Verified runs (key, item_id, first word, word after the last) for the items whose shingles have k words."""
+    """Verified occurrences (key, item_id, first word, word after the last) of the windows of items whose shingles have k words."""
     names = [f"w{i}" for i in range(k)]
-    own = settle(_shingles(items, ["__i", "item_id", "__n"], k))
+    own = settle(_shingles(items, ["__i", "__n"], k))
     known = settle(own.groupBy(*names).agg(F.count("*").alias("__c")).select(*names, F.xxhash64(*names).alias("__x"), F.monotonically_increasing_id().alias("sid")))
     n_known = known.count()
-    own = settle(join_sized(own, known, names, rows=n_known).select("__i", "item_id", "__n", F.col("pos").alias("ipos"), "sid"))
-
+    own = settle(join_sized(own, known, names, rows=n_known).select("__i", "__n", F.col("pos").alias("ipos"), "sid"))
     found = _shingles(docs.select(*_KEY, "__w", F.size("__w").alias("__nw")), [*_KEY, "__nw"], k).withColumn("__x", F.xxhash64(*names))
-    a, b = found.alias("a"), known.alias("b")
-    exact = F.col("a.__x") == F.col("b.__x")
-    matches = join_sized(a, b, exact, rows=n_known).where(" and ".join(f"a.{n} = b.{n}" for n in names))
-    matches = settle(matches.select("a.__d", "a.__h", "a.__nw", F.col("a.pos").alias("pos"), "b.sid"))
+
+    def met(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+        same = (F.col("a.__x") == F.col("b.__x"),) + tuple(F.col(f"a.{c}") == F.col(f"b.{c}") for c in names)
+        out = join_sized(rows.alias("a"), wanted.alias("b"), same[0], rows=n)
+        for x in same[1:]:
+            out = out.where(x)
+        return out
 
     # rarity order over the corpus; a window's prefix is its rarest shingle
-    rarity = matches.groupBy("sid").agg(F.count("*").alias("__f"))
-    size = F.least(F.col("__n"), F.lit(window))
-    within = own.join(rarity, "sid").withColumn("__last", size - k)
+    rarity = settle(met(found.select("__x", *names), known, n_known).groupBy("b.sid").agg(F.count("*").alias("__f")))
+    within = own.join(rarity, "sid").withColumn("__last", F.least(F.col("__n"), F.lit(window)) - k)
     placed = within.withColumn("off", F.explode(F.sequence(F.lit(0), F.col("__last")))).withColumn("wstart", F.col("ipos") - F.col("off"))
     placed = placed.where("wstart >= 0 and wstart + __last + {} <= __n".format(k))
     each = placed.groupBy("__i", "wstart").agg(F.count("*").alias("__have"), F.max("__last").alias("__last"), F.min(F.struct("__f", "off", "sid")).alias("__p"))
-    prefix = settle(each.where("__have = __last + 1").select("__i", "wstart", "__last", "__p.off", "__p.sid"))
+    prefix = settle(each.where("__have = __last + 1").select("__i", "wstart", (F.col("__last") + k).alias("len"), "__p.off", "__p.sid"))
+    wanted = settle(known.join(prefix.select("sid").distinct(), "sid", "left_semi"))
 
-    # candidates: positional and length bounds on the document's side
-    diag = F.col("pos") - F.col("off") - F.col("wstart")
+    # candidates: the places of prefix shingles, with positional and length bounds on the document's side
+    places = met(found, wanted, wanted.count()).select("a.__d", "a.__h", "a.__nw", F.col("a.pos").alias("pos"), "b.sid")
     start = F.col("pos") - F.col("off")
-    near = join_sized(matches, prefix, "sid").where((start >= 0) & (start + F.col("__last") + k <= F.col("__nw")))
-    near = near.select(*_KEY, "__i", diag.alias("diag")).distinct()
-
-    # runs of equal shingles on the candidates' diagonals
-    held = join_sized(matches, own, "sid").select(*_KEY, "__i", "item_id", "__n", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos").distinct()
-    on = F.col("l.__d").eqNullSafe(F.col("r.__d")) & (F.col("l.__h") == F.col("r.__h")) & (F.col("l.__i") == F.col("r.__i")) & (F.col("l.diag") == F.col("r.diag"))
-    held = held.alias("l").join(near.alias("r"), on, "left_semi")
-    w = Window.partitionBy(*_KEY, "__i", "diag").orderBy("ipos")
-    runs = held.withColumn("__run", F.col("ipos") - F.row_number().over(w)).groupBy(*_KEY, "__i", "diag", "__run").agg(F.min("ipos").alias("__a"), F.max("ipos").alias("__b"), F.first("__n").alias("__n"), F.first("item_id").alias("item_id"))
-    runs = runs.where(F.col("__b") - F.col("__a") + k >= size)
-    return runs.select(*_KEY, "item_id", (F.col("diag") + F.col("__a")).alias("s"), (F.col("diag") + F.col("__b") + k).alias("e"))
+    near = join_sized(places, prefix, "sid").where((start >= 0) & (start + F.col("len") <= F.col("__nw")))
+    # what a document's candidates are is bounded by its words times the windows that have one prefix shingle
+    near = settle(near.groupBy(*_KEY).agg(F.collect_set(F.struct("__i", "wstart", "len", start.alias("start"))).alias("__near")))
+
+    # words against words
+    on = F.col("d.__d").eqNullSafe(F.col("c.__d")) & (F.col("d.__h") == F.col("c.__h"))
+    texted = join_sized(docs.alias("d"), near.alias("c"), on).select("d.__d", "d.__h", "__w", "__near").dropDuplicates(_KEY)
+    cut = F.transform("__near", lambda c: F.struct(c["__i"].alias("__i"), c["wstart"].alias("wstart"), c["len"].alias("len"), c["start"].alias("s"), F.slice("__w", c["start"] + 1, c["len"]).alias("words")))
+    tried = texted.select(*_KEY, F.explode(cut).alias("c")).select(*_KEY, "c.*").alias("t")
+    held = join_sized(tried, items.alias("i"), F.col("t.__i") == F.col("i.__i")).where(F.col("t.words") == F.slice(F.col("i.__w"), F.col("t.wstart") + 1, F.col("t.len")))
+    return held.select("t.__d", "t.__h", "i.item_id", F.col("t.s").alias("s"), (F.col("t.s") + F.col("t.len")).alias("e")).distinct()
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
