@@ -43,6 +43,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this package has written, in whichever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all of them in the column `row`, so that working columns can't clash with the others."""
+    return docs.select(*names, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffles of what is settled and no longer held, which it learns of only by a collection."""
     gc.collect()
@@ -120,13 +135,18 @@ def marked_twice(rows: DataFrame, bits: int):
 
 
 class Memo(dict):
-    """A dict that computes missing values; of two generations of bounded size, the older goes when the younger is full."""
+    """A dict that computes missing values; of two generations of bounded size, the older goes when the younger is full.
+
+    Strings over `longest` are computed each time, so the bytes held are bounded, too.
+    """
 
-    def __init__(self, fn: Callable, most: int):
+    def __init__(self, fn: Callable, most: int, longest: int = 128):
         super().__init__()
-        self.fn, self.most, self.old = fn, max(1, most // 2), {}
+        self.fn, self.most, self.longest, self.old = fn, max(1, most // 2), longest, {}
 
     def __missing__(self, key):
+        if isinstance(key, (str, bytes)) and len(key) > self.longest:
+            return self.fn(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

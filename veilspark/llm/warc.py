@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import shared_dir
+from veilspark.llm.common import free, remove, settle, shared_dir
 
 #: Smallest payload that is worth a revisit record.
 REVISIT_BYTES = 100
@@ -82,7 +82,7 @@ def records(pages: DataFrame) -> DataFrame:
     revisit = F.when(is_revisit, F.concat(F.lit("WARC-Refers-To: "), _id("response", F.col("__to.uid")), F.lit("\r\nWARC-Profile: " + _PROFILE)))
     content = _record(F.when(is_revisit, F.lit("revisit")).otherwise(F.lit("response")), target, uri, [F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")), revisit], block)
     request = _record("request", _id("request", uid), uri, [F.lit("Content-Type: application/http; msgtype=request"), to], F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1" + _END)))
-    note = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload-bytes: "), F.col("n").cast("string")), F.concat(F.lit("refers-to-page: "), F.col("__to.page_id").cast("string")), F.lit(""))
+    note = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload-bytes: "), F.col("n").cast("string")), F.lit(""))
     metadata = _record("metadata", _id("metadata", uid), uri, [F.lit("Content-Type: application/warc-fields"), to], note)
     return d.select(F.explode(F.array(request, content, metadata)).alias("value"))
 
@@ -95,12 +95,7 @@ def write(pages: DataFrame, path: str) -> None:
 def _inflate(data: bytes) -> bytes:
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data:
-        d = zlib.decompressobj(zlib.MAX_WBITS | 16)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
+    return gzip.GzipFile(fileobj=io.BytesIO(data)).read()  # all members, without a copy of the rest for each
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
@@ -179,27 +174,39 @@ def assemble(recs: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes the archives of all pages under path (the shared folder if none is given), reads and assembles them."""
-    spark = pages.sparkSession
+    """Writes the archives of all pages under path, reads and assembles them; without a path they are deleted once read."""
+    spark, own = pages.sparkSession, path is None
     path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    return assemble(read(spark, path))
+    free(spark)  # the payloads that were shuffled to decide
+    records = settle(read(spark, path))  # the archives are parsed once
+    if own:
+        remove(spark, path)
+    return assemble(records)
 
 
 def page_records(pages: DataFrame, path: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each capture, as the archives tell them."""
-    c = captures(pages, path)
     note = F.map_from_entries(F.element_at("metadata", 1).getField("fields"))
     revisit = F.col("response.type") == "revisit"
-    return c.select(
+    rows = captures(pages, path).select(
+        "main_id",
         note["page-id"].cast("long").alias("page_id"),
         F.when(revisit, note["payload-bytes"].cast("long")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("response.header_digest")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        note["refers-to-page"].cast("long").alias("refers_to"),
+        F.when(revisit, F.col("response.refers_to")).alias("named"),
         F.col("response.target_uri").alias("target_uri"),
         F.col("request.record_id").alias("request_id"),
     )
+    rows = settle(rows)
+    # a revisit names a response's record, whose page is told by that capture's metadata; AQE splits a response that many name
+    responses = rows.where("record_type = 'response'").select(F.col("main_id").alias("named"), F.col("page_id").alias("refers_to"))
+    wanted = rows.where("named is not null")
+    met = wanted.join(responses, "named", "left")
+    alone = rows.where("named is null").withColumn("refers_to", F.lit(None).cast("long"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "request_id"]
+    return met.select(*columns).union(alone.select(*columns))
 
 
 def compress_members(blobs: list[bytes]) -> bytes:
