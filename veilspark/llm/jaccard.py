@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from veilspark.llm.common import Memo, join_sized, settle, texts
+from veilspark.llm.common import Memo, join_sized, packed, settle, texts, unpacked
 
 
 @dataclass(frozen=True)
@@ -563,7 +563,12 @@ def _digests(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs, columns as they are: of each component one row, of the smallest doc_id; all rows linked with nothing.
+    """The rows of docs, columns as they are: of each component one row, of the smallest doc_id; all rows linked with nothing."""
+    return unpacked(_one_of_each(packed(docs, "doc_id", "text"), settings))
+
+
+def _one_of_each(docs: DataFrame, settings: Settings) -> DataFrame:
+    """The same for columns whose names are known.
 
     A row is known by its doc_id and the digest of its text. Where an id has one row, or all of its rows stay or go, the
     id alone decides; other rows, and those without id, are met by both.

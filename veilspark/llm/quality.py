@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bounded_sample, join_sized, settle, texts
+from veilspark.llm.common import bounded_sample, join_sized, packed, settle, texts, unpacked
 
 #: Bound of the labelled rows that the classifier is fitted on.
 SAMPLE_ROWS = 8_000
@@ -88,7 +88,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     y = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     chosen = F.broadcast(bounded_sample(y.groupBy("doc_id").agg(F.min("y").alias("y")), "doc_id", sample_rows))
-    found = docs.select("doc_id", "text").where("text <> ''").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    # of several texts of one id the smallest, whatever the order of rows
+    found = docs.select("doc_id", "text").where("text <> ''").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
     def run(batches):
         for b in texts(batches):
@@ -167,4 +168,4 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataF
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, columns as they are, whose posterior reaches the threshold."""
-    return posteriors(docs, labels).where(F.col("__posterior") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(posteriors(packed(docs, "doc_id", "text", "source", "lang"), labels).where(F.col("__posterior") >= threshold))

@@ -103,7 +103,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple
     y = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     y = y.where("y in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = F.broadcast(bounded_sample(y, "doc_id", s.sample_rows))
-    texted = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    # of several texts of one id the smallest, whatever the order of rows
+    texted = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
     def run(batches):
         features = Features(s)
@@ -117,10 +118,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple
 
 def score(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
     """doc_id and score of every row."""
-    index, weight, bias = model.index, model.weight, model.bias
+    weights, bias = docs.sparkSession.sparkContext.broadcast(model), model.bias
 
     def run(batches):
-        features, w = Features(s), Model(index, weight, bias).dense(s.bits)
+        features, w = Features(s), weights.value.dense(s.bits)
         for b in texts(batches):
             x = np.array([bias + float(w[features(t.as_py())].sum(dtype=np.float64)) for t in b.column("text")], np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))], ["doc_id", "score"])
