@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import bpe, decontaminate, jaccard, pii, quality
-from veilspark.llm.common import shared_dir
+from veilspark.llm.common import remove, shared_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the whole table documents; each stage's rows are written and read again."""
+    """The last stage's rows over the whole table documents; each stage's rows are written and read again, and deleted when the next stage's are."""
     at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            remove(spark, before)  # what the stage has read
+        before = f"{at}/{name}"
     return docs

@@ -66,6 +66,9 @@ def is_withheld(mask: Column, settings: Settings, correction: float = 1.0) -> Co
 def sampled(worlds: Column, settings: Settings = Settings(), correction: float = 1.0, scale: float = 1.0, corrected: bool = True) -> Column:
     """The released value of 64 worlds: null worlds are dropped, the rest multiplied by the correction (if `corrected`)."""
     factor = correction if corrected else 1.0
+    if settings.mi == 0:  # no draw, so no mask: the first world, if there are enough
+        kept = F.filter(worlds, lambda x: x.isNotNull())
+        return F.when(F.size(kept) * F.lit(float(correction)) >= 1, F.get(kept, 0).cast("double") * F.lit(float(factor * scale)))
 
     def finish(s: Column) -> Column:
         kept = F.transform(F.filter(s["w"], lambda x: x.isNotNull()), lambda x: x.cast("double") * F.lit(float(factor)))

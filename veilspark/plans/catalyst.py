@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
+def remembered(method: Callable):
+    """A method of one node whose result is kept: plans don't change, and each look at one is a call to the JVM."""
+
+    @functools.wraps(method)
+    def once(self, node, *more):
+        key = (method.__name__, node._target_id, *more)
+        if key not in self.known:
+            self.known[key] = (method(self, node, *more), node)  # held, so that its name isn't given to another
+        return self.known[key][0]
+
+    return once
+
+
 class Catalyst:
     def __init__(self, spark: SparkSession):
         self.spark, self.jvm = spark, spark._jvm
+        self.known: dict = {}
         self._utils = self.jvm.org.apache.spark.sql.classic.ExpressionUtils
         self._to_expression = self._object("org.apache.spark.sql.classic.ColumnNodeToExpressionConverter")
         self._attribute_map = self._object("org.apache.spark.sql.catalyst.expressions.AttributeMap")
@@ -36,9 +51,27 @@ class Catalyst:
             out.add(x)
         return self.jvm.scala.jdk.javaapi.CollectionConverters.asScala(out).toSeq()
 
+    @remembered
     def children(self, node) -> list:
         return self.list(node.children())
 
+    @remembered
+    def kind(self, node) -> str:
+        return node.nodeName()
+
+    @remembered
+    def output(self, plan) -> list:
+        return self.list(plan.output())
+
+    @remembered
+    def expressions(self, plan) -> list:
+        return self.list(plan.expressions())
+
+    @remembered
+    def inner(self, subquery):
+        """The plan that an expression holds."""
+        return subquery.plan()
+
     def with_children(self, node, children: Iterable):
         return node.withNewChildren(self.seq(children))
 
@@ -79,18 +112,19 @@ class Catalyst:
             yield from self.walk(c)
 
     def holds_plan(self, expr) -> bool:
-        return expr.nodeName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+        return self.kind(expr) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
 
+    @remembered
     def subqueries(self, plan) -> list:
         """Expressions of this node that hold plans."""
-        return [e for x in self.list(plan.expressions()) for e in self.walk(x) if self.holds_plan(e)]
+        return [e for x in self.expressions(plan) for e in self.walk(x) if self.holds_plan(e)]
 
     def whole(self, plan):
         """Nodes of the plan, of its common table expressions and of the subqueries in it."""
         for p in self.walk(plan):
             yield p
             for s in self.subqueries(p):
-                yield from self.whole(s.plan())
+                yield from self.whole(self.inner(s))
             if p.nodeName() == "UnresolvedWith":
                 for k in self.list(p.innerChildren()):
                     yield from self.whole(k)
@@ -108,7 +142,7 @@ class Catalyst:
         return self.jvm.org.apache.spark.sql.catalyst.optimizer.InlineCTE(True, False).apply(plan)
 
     def is_correlated(self, subquery) -> bool:
-        return any(e.nodeName() == "OuterReference" for p in self.whole(subquery.plan()) for x in self.list(p.expressions()) for e in self.walk(x))
+        return any(self.kind(e) == "OuterReference" for p in self.whole(self.inner(subquery)) for x in self.expressions(p) for e in self.walk(x))
 
     def with_expressions(self, plan, change: Callable):
         """The node with its own expressions changed; of the nodes that a parsed query has."""
@@ -131,10 +165,10 @@ class Catalyst:
 
     def table_name(self, plan, known=()) -> str | None:
         """The name of a base table, or of a view that is known as a table; None for other nodes."""
-        name = plan.nodeName()
+        name = self.kind(plan)
         if name == "SubqueryAlias":
-            kid = plan.child()
-            if kid.nodeName() == "View":
+            (kid,) = self.children(plan)
+            if self.kind(kid) == "View":
                 return self.table_name(kid, known)
             if not self.children(kid):
                 return plan.alias().lower()

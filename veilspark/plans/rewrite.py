@@ -44,7 +44,7 @@ class Rewriter:
     def _plan(self, plan):
         if self.checker.table_name(plan) is not None:
             return plan
-        if plan.nodeName() == "View":
+        if self.c.kind(plan) == "View":
             return self._plan(plan.child())
         if self.checker.is_target(plan):
             return self._private(plan)
@@ -53,7 +53,7 @@ class Rewriter:
         if any(a is not b for a, b in zip(kids, new, strict=True)):
             plan = self.c.with_children(plan, new)
             plan = self.c.with_attributes(plan, self._moved) if self._moved else plan
-        return self._released_subqueries(self._voted(plan) if plan.nodeName() == "Filter" else plan)
+        return self._released_subqueries(self._voted(plan) if self.c.kind(plan) == "Filter" else plan)
 
     def _released_subqueries(self, plan):
         """Private subqueries that no vote is held on give what they release."""
@@ -77,7 +77,7 @@ class Rewriter:
         if name is not None:
             return self._keyed_table(plan, name)
         kids = self.c.children(plan)
-        kind = plan.nodeName()
+        kind = self.c.kind(plan)
         if kind == "Aggregate":
             return self._keyed_group(plan)
         if kind == "Union":
@@ -171,7 +171,7 @@ class Rewriter:
         nodes, aggs = [], []
         for e in self.c.list(plan.aggregateExpressions()):
             for x in self.c.walk(e):
-                if x.nodeName() == "AggregateExpression" and not any(x.semanticEquals(n) for n in nodes):
+                if self.c.kind(x) == "AggregateExpression" and not any(x.semanticEquals(n) for n in nodes):
                     nodes.append(x)
                     aggs.append(self._agg(f"a{len(aggs)}", x))
         return df, kh, groups, nodes, aggs
@@ -204,7 +204,7 @@ class Rewriter:
         def body(z: Column) -> Column:
             def found(e):
                 for i, n in enumerate(nodes):
-                    if e.nodeName() == "AggregateExpression" and e.semanticEquals(n):
+                    if self.c.kind(e) == "AggregateExpression" and e.semanticEquals(n):
                         return self.c.expression(z[f"s{i}"].cast(n.dataType().catalogString()))
                 for i, g in enumerate(groups):
                     if e.semanticEquals(g):
@@ -220,25 +220,25 @@ class Rewriter:
         lists, groups, nodes, aggs, types = self._lists(plan)
         outs = []
         for e in self.c.list(plan.aggregateExpressions()):
-            bare = e.child() if e.nodeName() == "Alias" else e
+            bare = e.child() if self.c.kind(e) == "Alias" else e
             inner = bare
-            while inner.nodeName() == "Cast":
+            while self.c.kind(inner) == "Cast":
                 inner = inner.child()
             kind = bare.dataType().catalogString()
-            hit = [i for i, n in enumerate(nodes) if inner.nodeName() == "AggregateExpression" and inner.semanticEquals(n)]
+            hit = [i for i, n in enumerate(nodes) if self.c.kind(inner) == "AggregateExpression" and inner.semanticEquals(n)]
             group = [i for i, g in enumerate(groups) if bare.semanticEquals(g)]
             if hit:
                 col = released(aggs[hit[0]], types[aggs[hit[0]].name], self.settings).cast(kind)
             elif group:
                 col = F.col(f"__g{group[0]}")
-            elif any(x.nodeName() == "AggregateExpression" for x in self.c.walk(bare)):
+            elif any(self.c.kind(x) == "AggregateExpression" for x in self.c.walk(bare)):
                 col = noised(F.transform(self._in_worlds(bare, nodes, aggs, groups), lambda x: x.cast("double")), self.settings).cast(kind)
             else:
                 col = self.c.column(self.c.replace(bare, lambda x: next((self.c.expression(F.col(f"__g{i}")) for i, g in enumerate(groups) if x.semanticEquals(g)), None)))
-            outs.append(self.c.renamed(self.c.expression(col), e, fresh=e.nodeName() != "Alias"))
+            outs.append(self.c.renamed(self.c.expression(col), e, fresh=self.c.kind(e) != "Alias"))
         new = self.c.plan(self.c.frame(self.c.project(outs, self.c.plan(lists))))
         pairs = zip(self.c.list(plan.aggregateExpressions()), self.c.list(new.output()), strict=True)
-        self._moved += [(e, a) for e, a in pairs if e.nodeName() != "Alias"]
+        self._moved += [(e, a) for e, a in pairs if self.c.kind(e) != "Alias"]
         return new
 
     # --- comparisons with private subqueries ---
@@ -248,7 +248,7 @@ class Rewriter:
         base, rest, votes = plan.child(), [], []
         for cond in self.c.conjuncts(plan.condition()):
             held = [e for e in self.c.walk(cond) if self.c.holds_plan(e) and self.checker.has_target(e.plan())]
-            votes_on = bool(held) and all(e.nodeName() == "ScalarSubquery" for e in held)
+            votes_on = bool(held) and all(self.c.kind(e) == "ScalarSubquery" for e in held)
             (votes.append((cond, held)) if votes_on else rest.append(cond))
         if not votes:
             return plan
@@ -277,7 +277,7 @@ class Rewriter:
             ids = [s.exprId().id() for s in subs]
 
             def found(x):
-                if x.nodeName() != "ScalarSubquery" or x.exprId().id() not in ids:
+                if self.c.kind(x) != "ScalarSubquery" or x.exprId().id() not in ids:
                     return None
                 return self.c.expression(z[f"w{ids.index(x.exprId().id())}"])
 
@@ -289,21 +289,21 @@ class Rewriter:
     def _worlds_of(self, sub, name: str) -> tuple[DataFrame, list]:
         """__w<name>: the worlds of a private scalar subquery, by __c<name>_i, its values of the outer columns that are returned."""
         wrap, agg = [], sub.plan()
-        while agg.nodeName() != "Aggregate":
-            if agg.nodeName() not in ("Project", "SubqueryAlias", "View"):
+        while self.c.kind(agg) != "Aggregate":
+            if self.c.kind(agg) not in ("Project", "SubqueryAlias", "View"):
                 raise RejectedQuery("a private subquery must be one aggregate")
             wrap.append(agg)
             agg = agg.child()
         agg, pairs = self._decorrelated(agg)
         lists, groups, nodes, aggs, _ = self._lists(agg, [inner for _, inner in pairs])
         expr = self.c.list(agg.aggregateExpressions())[0]
-        expr = expr.child() if expr.nodeName() == "Alias" else expr
+        expr = expr.child() if self.c.kind(expr) == "Alias" else expr
         ids = {self.c.list(agg.aggregateExpressions())[0].exprId().id(): expr}
         for p in reversed(wrap):  # what is computed of the aggregate above it
-            if p.nodeName() == "Project":
+            if self.c.kind(p) == "Project":
                 top = self.c.list(p.projectList())[0]
                 bare = top.child() if top.nodeName() == "Alias" else top
-                expr = self.c.replace(bare, lambda x: ids.get(x.exprId().id()) if x.nodeName() == "AttributeReference" else None)
+                expr = self.c.replace(bare, lambda x: ids.get(x.exprId().id()) if self.c.kind(x) == "AttributeReference" else None)
                 ids[top.exprId().id()] = expr
         worlds = lists.select(*[F.col(f"__g{i}").alias(f"__c{name}_{i}") for i in range(len(groups))], self._in_worlds(expr, nodes, aggs, groups).alias(f"__w{name}"))
         return worlds, [out for out, _ in pairs]
@@ -317,16 +317,16 @@ class Rewriter:
                 return plan
             new = [strip(k) for k in self.c.children(plan)]
             plan = self.c.with_children(plan, new) if new else plan
-            if plan.nodeName() != "Filter":
+            if self.c.kind(plan) != "Filter":
                 return plan
             keep = []
             for cond in self.c.conjuncts(plan.condition()):
-                outer = [e for e in self.c.walk(cond) if e.nodeName() == "OuterReference"]
+                outer = [e for e in self.c.walk(cond) if self.c.kind(e) == "OuterReference"]
                 if not outer:
                     keep.append(cond)
                     continue
                 kids = self.c.children(cond)
-                if cond.nodeName() != "EqualTo" or sum(k.nodeName() == "OuterReference" for k in kids) != 1:
+                if self.c.kind(cond) != "EqualTo" or sum(self.c.kind(k) == "OuterReference" for k in kids) != 1:
                     raise RejectedQuery("a private subquery may be correlated by equalities only")
                 out, inner = kids if kids[0].nodeName() == "OuterReference" else kids[::-1]
                 pairs.append((self.c.children(out)[0] if self.c.children(out) else out.e(), inner))
