@@ -24,6 +24,8 @@ from veilspark.llm.common import join_sized, settle
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 SHINGLE = 3
+#: Candidates, of some 30 bytes each, up to which they are broadcast to the texts.
+CANDIDATES = 1_000_000
 _KEY = ["__d", "__h"]
 
 
@@ -48,9 +50,10 @@ def _shingles(rows: DataFrame, keep: list[str], k: int) -> DataFrame:
     return flat.select(*keep, "pos", *(F.col(f"__s.w{i}").alias(f"w{i}") for i in range(k))).where(F.col(f"w{k - 1}").isNotNull())
 
 
-def _occurrences(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
+def _occurrences(texts: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
     """Verified occurrences (key, item_id, first word, word after the last) of the windows of items whose shingles have k words."""
     names = [f"w{i}" for i in range(k)]
+    docs = texts.select(*_KEY, words(F.col("__t")).alias("__w"))
     own = settle(_shingles(items, ["__i", "__n"], k))
     known = settle(own.groupBy(*names).agg(F.count("*").alias("__c")).select(*names, F.xxhash64(*names).alias("__x"), F.monotonically_increasing_id().alias("sid")))
     n_known = known.count()
@@ -82,7 +85,9 @@ def _occurrences(docs: DataFrame, items: DataFrame, k: int, window: int) -> Data
 
     # words against words
     on = F.col("d.__d").eqNullSafe(F.col("c.__d")) & (F.col("d.__h") == F.col("c.__h"))
-    texted = join_sized(docs.alias("d"), near.alias("c"), on).select("d.__d", "d.__h", "__w", "__near").dropDuplicates(_KEY)
+    # only texts that have candidates are cut into words once more
+    n_near = near.agg(F.sum(F.size("__near"))).first()[0] or 0
+    texted = join_sized(texts.alias("d"), near.alias("c"), on, rows=n_near, bound=CANDIDATES).select("d.__d", "d.__h", words(F.col("__t")).alias("__w"), "__near").dropDuplicates(_KEY)
     cut = F.transform("__near", lambda c: F.struct(c["__i"].alias("__i"), c["wstart"].alias("wstart"), c["len"].alias("len"), c["start"].alias("s"), F.slice("__w", c["start"] + 1, c["len"]).alias("words")))
     tried = texted.select(*_KEY, F.explode(cut).alias("c")).select(*_KEY, "c.*").alias("t")
     held = join_sized(tried, items.alias("i"), F.col("t.__i") == F.col("i.__i")).where(F.col("t.words") == F.slice(F.col("i.__w"), F.col("t.wstart") + 1, F.col("t.len")))
@@ -94,14 +99,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     items = benchmark.select("item_id", words(F.col("text")).alias("__w")).where("size(__w) > 0")
     items = items.groupBy("item_id", "__w").agg(F.size("__w").alias("__n")).withColumn("__i", F.monotonically_increasing_id())
     items = settle(items.select("__i", "item_id", "__w", "__n"))
-    texted = docs.select(*_key(F.col("doc_id").cast("long"), F.col("text")), words(F.col("text")).alias("__w"))
+    texts = docs.select(*_key(F.col("doc_id").cast("long"), F.col("text")), F.col("text").alias("__t"))
     k = F.least(F.col("__n"), F.lit(shingle))
     sizes = [r[0] for r in items.select(k.alias("k")).distinct().orderBy("k").collect()]  # at most `shingle` numbers
     out = None
     for n in sizes:
-        one = _occurrences(texted, items.where(k == n), n, window)
+        one = _occurrences(texts, items.where(k == n), n, window)
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else texted.select(*_KEY, F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("s"), F.lit(0).alias("e")).where("false")
+    return out if out is not None else texts.select(*_KEY, F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("s"), F.lit(0).alias("e")).where("false")
 
 
 def _per_document(spans: DataFrame) -> DataFrame:
