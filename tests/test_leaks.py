@@ -4,7 +4,7 @@ import pytest
 
 from veilspark.functions.keyhash import Settings
 from veilspark.plans.admission import RejectedQuery
-from veilspark.plans.policy import Registry
+from veilspark.plans.policy import PolicyError, Registry
 from veilspark.plans.session import PrivateSession
 
 
@@ -52,6 +52,8 @@ TOTAL = sum(100.0 + i for i in range(200))
         ("SELECT grp, sum(bal) OVER (PARTITION BY grp) FROM people", "window"),
         ("CREATE TABLE stolen USING parquet AS SELECT name FROM people", "not supported over"),
         ("CREATE TABLE stolen USING parquet AS SELECT name FROM v_people", "not supported over"),
+        ("CREATE PAC TABLE stolen (PAC_KEY (id)) USING parquet AS SELECT id, name FROM people", "not supported over|does not exist"),
+        ("CREATE TABLE stolen USING parquet PARTITIONED BY (grp) AS WITH t AS (SELECT name, grp FROM v_people) SELECT * FROM t", "not supported over"),
         ("INSERT OVERWRITE DIRECTORY '/tmp/stolen' USING parquet SELECT name FROM people", "not supported over"),
         ("EXPLAIN SELECT name FROM people", "protected"),
         ("SELECT max(bal) AS x, pac_count(cast(grp as bigint)) AS n FROM people", "must not aggregate"),
@@ -60,7 +62,7 @@ TOTAL = sum(100.0 + i for i in range(200))
     ],
 )
 def test_refused(session, text, says):
-    with pytest.raises(RejectedQuery, match=says):
+    with pytest.raises(PolicyError, match=says):
         session.sql(text).collect()
 
 

@@ -96,3 +96,26 @@ def test_settings_and_toggles():
     run(r, "ALTER TABLE users UNSET PAC")
     assert not r.get("users").is_unit
     assert ddl.parse("SELECT 1", COLUMNS.get) is None
+
+
+def test_clauses_are_told_from_strings_comments_and_types():
+    r = Registry()
+    text = "CREATE PAC TABLE t (id INT PRIMARY KEY, `PROTECTED` DECIMAL(10, 2), note STRING COMMENT 'PAC_KEY (x), it''s', /* PROTECTED (note) */ s STRUCT<a: INT> -- PAC_LINK (id)\n, PROTECTED (note)) USING parquet"
+    s = run(r, text)
+    assert s.plain.startswith("CREATE TABLE t (id INT, `PROTECTED` DECIMAL(10, 2), note STRING COMMENT 'PAC_KEY (x), it''s', s STRUCT<a: INT>") and s.plain.endswith(") USING parquet")
+    assert r.get("t").key == ("id",) and r.get("t").protected == ("note",) and not r.get("t").links
+
+
+@pytest.mark.parametrize("text", ["CREATE PAC TABLE t (a INT, PAC_KEY (b))", "CREATE TABLE t (a INT, PROTECTED (b))", "CREATE TABLE t (a INT, PAC_LINK (a) REFERENCES nothing(id))", "CREATE TABLE t (a INT, PAC_LINK (a) REFERENCES users(nothing))", "CREATE TABLE t (a INT, PAC_KEY ())", "CREATE TABLE t (a INT, PAC_KEY (a"])
+def test_create_checks_its_columns_and_targets(text):
+    with pytest.raises(PolicyError):
+        ddl.parse(text, COLUMNS.get)
+
+
+def test_constraints_become_policies():
+    r = Registry()
+    s = run(r, "create table if not exists orders (id int, user_id int, PRIMARY KEY (id), FOREIGN KEY (user_id) REFERENCES users (id))")
+    assert s.plain == "create table if not exists orders (id int, user_id int)"
+    assert r.get("orders").key == ("id",) and r.get("orders").links == (Link(("user_id",), "users", ("id",)),)
+    assert ddl.parse("CREATE TABLE x (a INT) USING parquet", COLUMNS.get) is None and ddl.parse("CREATE VIEW v AS SELECT 1", COLUMNS.get) is None
+    assert ddl.parse("DROP TABLE IF EXISTS orders", COLUMNS.get).plain.startswith("DROP")

@@ -78,7 +78,7 @@ class PrivateSession:
             trial = Registry(dict(self.registry.tables))
             s.then(trial)  # an impossible policy fails before the table exists
             if s.plain:
-                self.spark.sql(s.plain)
+                self._statement(s.plain)
             s.then(self.registry)
             if self.metadata_path:
                 self.registry.save(self.metadata_path)
