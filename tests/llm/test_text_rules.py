@@ -215,3 +215,11 @@ def test_like_brute_force(spark, folder):
         n += t != want
         assert got[i] == want
     assert n > 5
+
+
+def test_comment_marks_and_typeset_quotes(docs):
+    mit = licenses.LICENSES["MIT"].replace("Copyright (c) <year> <holder>", "Copyright 2021 A B")
+    commented = "\n".join(("# " + x).rstrip() for x in mit.split("\n"))
+    typeset = mit.replace('"Software"', "\u201cSoftware\u201d").replace(", ", ",\u00a0").replace("Copyright 2021", "// \u00a9 2021")
+    got = licenses.scan(docs([commented, typeset, "/* " + mit])).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == {0: "MIT", 1: "MIT", 2: "MIT"}

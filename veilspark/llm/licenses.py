@@ -24,11 +24,14 @@ CATALOGUE_ROWS = 10_000
 
 # Spellings that count as equal, after lower-casing.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("modelled", "modeled"), ("per cent", "percent"), ("non-commercial", "noncommercial"), ("copyright owner", "copyright holder"), ("https://", "http://")]
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Blanks and comment marks before the words of a line.
+_MARKS = r"[ \t#*;%/!-]*"
+COPYRIGHT_LINE = rf"(?m)^{_MARKS}(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 #: A line that is a notice wherever it stands, and those that begin a paragraph; a wrapped line of prose is neither.
-NOTICE_LINE = r"(?m)^[ \t]*(?:copyright[ \t:]*(?:\(c\)|©|[<\[{]|[0-9]{4})[^\n]*|\(c\)[ \t]*(?:copyright|[<\[{]|[0-9]{4})[^\n]*|©[^\n]*|all rights reserved[.!]?[ \t\r]*)$"
-NOTICE_PARAGRAPH = r"(\A|\n[ \t\r]*\n)(?:[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*(?:\n|$))++"
-NO_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+NOTICE_LINE = rf"(?m)^{_MARKS}(?:copyright[ \t:]*(?:\(c\)|©|[<\[{{]|[0-9]{{4}})[^\n]*|\(c\)[ \t]*(?:copyright|[<\[{{]|[0-9]{{4}})[^\n]*|©[^\n]*|all rights reserved[.!]?[ \t\r]*)$"
+NOTICE_PARAGRAPH = rf"(\A|\n[ \t\r]*\n)(?:{_MARKS}(?:copyright|\(c\)|©|all rights reserved)[^\n]*(?:\n|$))++"
+# what is neither letter nor digit of ASCII, and the punctuation that texts are typeset with
+NO_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f" + " «»‐-‧‰-⁞　-〃]+"
 #: If every notice has this in its canonical form, other lines aren't looked up.
 MARK = "licen"
 
