@@ -314,6 +314,13 @@ def aggregate(df: DataFrame, groups: dict[str, Column], kh: Column, aggs: Sequen
     return lists.select(*[F.col(f"__g{i}").alias(g) for i, g in enumerate(groups)], *[released(a, types[a.name], settings).alias(a.name) for a in aggs])
 
 
+# Fixed values of the diversity guard: a group is odd with so many worlds empty and the others equal; it is an error
+# from so many rows on, if there are more than so many times as many odd groups as others.
+_ODD_EMPTY = (29, 35)
+_ODD_ROWS = 100
+_ODD_TIMES = 2
+
+
 def check_diversity(df: DataFrame, groups: Sequence[Column], kh: Column, aggs: Sequence[Agg], settings: Settings = Settings()) -> None:
     """Raises if most groups have rows of too few units: about half of the worlds, all of them equal."""
     lists = world_lists(df, groups, kh, aggs, settings)
@@ -321,7 +328,7 @@ def check_diversity(df: DataFrame, groups: Sequence[Column], kh: Column, aggs: S
     for a in aggs:
         x = F.filter(a.name, lambda w: w.isNotNull())
         empty = F.lit(WORLDS) - F.size(x)
-        odd = (empty >= 29) & (empty <= 35) & (F.array_min(x) == F.array_max(x))
+        odd = empty.between(*_ODD_EMPTY) & (F.array_min(x) == F.array_max(x))
         r = lists.where(F.col(a.name).isNotNull()).agg(F.coalesce(F.sum(odd.cast("long")), F.lit(0)).alias("odd"), F.count("*").alias("n")).first()
-        if total >= 100 and r["odd"] > 2 * (r["n"] - r["odd"]):
+        if total >= _ODD_ROWS and r["odd"] > _ODD_TIMES * (r["n"] - r["odd"]):
             raise ValueError(f"{a.name}: too few privacy units in most groups")
