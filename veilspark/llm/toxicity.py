@@ -118,10 +118,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> list[tuple
 
 def score(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
     """doc_id and score of every row."""
-    weights, bias = docs.sparkSession.sparkContext.broadcast(model), model.bias
+    weights, bias = docs.sparkSession.sparkContext.broadcast((model.index, model.weight)), model.bias
 
     def run(batches):
-        features, w = Features(s), weights.value.dense(s.bits)
+        features, w = Features(s), Model(*weights.value, bias).dense(s.bits)
         for b in texts(batches):
             x = np.array([bias + float(w[features(t.as_py())].sum(dtype=np.float64)) for t in b.column("text")], np.float64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))], ["doc_id", "score"])
