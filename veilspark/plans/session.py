@@ -133,7 +133,7 @@ class PrivateSession:
         checker = Checker(self.spark, self.registry)
         plan = c.inlined(c.plan(df))
         tables = checker.tables(plan)
-        if self.registry.units and tables and not any(self.registry.get(t).is_unit or self.registry.paths(t) for t in tables):
+        if self.registry.units and _relations(c, parsed) and not any(self.registry.get(t).is_unit or self.registry.paths(t) for t in tables):
             raise RejectedQuery("a query that calls pac_ functions must read a privacy unit or a table linked to one")
         found = checker.check(plan, named=True)
         if plain and (found.units or found.linked):
