@@ -16,16 +16,18 @@ are ignored. Lone surrogates, which Spark strings can't hold, would be encoded a
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Memo, texts
+from veilspark.llm.common import SLICE_BYTES, Memo, texts
 
 _CUT = re.compile(r" (?=\S)")
 
@@ -106,7 +108,7 @@ class Prefixes:
 class Encoder:
     """encode_ordinary of a rank file and a pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000):
         self.v = Vocabulary(ranks)
         self.match = regex.compile(pattern)
         self.words = Memo(self._word, remembered // 4)
@@ -151,7 +153,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
     def run(batches):
         encoder = Encoder(read_ranks(blob.value), pattern)
         named = {str(i): t for i, t in encoder.v.bytes_of.items()}
-        for b in texts(batches):
+        gc.collect()
+        pa.default_memory_pool().release_unused()  # what the worker held for another stage
+        for b in texts(batches, most=SLICE_BYTES // 4):
             count, joined, decoded, kept = [], [], [], []
             for t in b.column("text"):
                 all_ids = encoder.joined(t.as_py() or "")
@@ -160,7 +164,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
                 joined.append(hashlib.sha256(all_ids.encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(map(named.__getitem__, each))).hexdigest())
                 if ids:
-                    kept.append(list(map(int, each)))
+                    kept.append(np.fromiter(map(int, each), np.int32, len(each)))
             cols = [b.column("doc_id"), pa.array(count, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.list_(pa.int32()))] * ids, names + ["ids"] * ids)
