@@ -52,3 +52,44 @@ def test_documents(docs, library):
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and back[r["doc_id"]] == t
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
     assert bpe.encode_documents(docs([]), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_latin_words_and_marks_as_the_library(encoder, library):
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.text(st.sampled_from("aehinorstAZÀÖ×Øößöøÿɏɐªºµ÷'.,;!1\n"), max_size=12) | st.text(st.sampled_from("ationé"), min_size=60, max_size=70), max_size=8).map(" ".join))
+    def check(t):
+        ids = library.encode_ordinary(t)
+        assert encoder.encode(t) == ids
+        assert encoder.coded(t) == (",".join(map(str, ids)), t.encode())
+
+    check()
+
+
+def test_words_that_begin_alike_share_their_work(encoder, library):
+    """One more letter at the end of a word asks for a few pairs, not for those of the whole word; plain pieces go without the pattern."""
+
+    class Asked(dict):
+        def __missing__(self, key):
+            return pairs[key]
+
+        def __getitem__(self, key):
+            self.times = getattr(self, "times", 0) + 1
+            return super().__getitem__(key)
+
+    class Pattern:
+        times = 0
+
+        def findall(self, text):
+            self.times += 1
+            return library_pattern.findall(text)
+
+    own = bpe.Encoder(encoder.v.ranks, public_tokenizers.PATTERN)
+    library_pattern, pairs = own.match, own.v.pairs
+    own.match, own.v.pairs = Pattern(), Asked()
+    stem = "thntiouonthherewhatinged"
+    own.encode(f"a {stem}")
+    before, own.v.pairs.times = own.v.pairs.times, 0
+    t = "a " + " ".join(f"{stem}{x}{mark}" for x in "bcdfgklmpq" for mark in ("", ".", ","))
+    assert own.encode(t) == library.encode_ordinary(t)
+    assert own.match.times == 2  # the texts' beginnings
+    assert own.v.pairs.times <= 10 * before / 4

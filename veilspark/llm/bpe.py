@@ -3,11 +3,13 @@
 For every prefix of a byte string the BPE encoding is unique, and so is its last token. `Prefixes` stores that last
 token for each prefix: a token ending at a byte is the right one exactly if the token stored where it begins and it
 are the encoding of the two's bytes together (adjacent pairs decide validity). So appending bytes only adds entries,
-and an edit only needs the entries from the edit on.
+and an edit only needs the entries from the edit on. As the last token belongs to the prefix alone, words that begin
+alike share it: an `Encoder` asks from a word's end, only for the prefixes that it needs, and remembers them.
 
 Texts are split by the tokenizer's pattern and each match is encoded by itself. A text is first cut before every
-single blank that a visible character follows; no match crosses such a cut, so pieces between cuts are encoded once
-and remembered in a dictionary of bounded size.
+single blank that a visible character follows; no match crosses such a cut, so pieces between cuts are encoded and
+decoded once and remembered in a dictionary of bounded size. In the pattern, as in those like it, a blank and Latin
+letters are one match, and a point or comma after them begins another; such pieces go without the pattern.
 
 Defined results: a null text counts as empty, and an empty text has no ids; rows repeat as they come; extra columns
 are ignored. Lone surrogates, which Spark strings can't hold, would be encoded as tiktoken does, as U+FFFD.
@@ -30,6 +32,9 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import SLICE_BYTES, Memo, texts
 
 _CUT = re.compile(r" (?=\S)")
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: Bytes of a word whose prefixes are remembered; longer ones are encoded by the automaton.
+_SHORT = 64
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -111,27 +116,57 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000):
         self.v = Vocabulary(ranks)
         self.match = regex.compile(pattern)
-        self.words = Memo(self._word, remembered // 4)
-        self.chunks = Memo(lambda c: self._joined(" " + c), remembered)  # ids of what follows a cut
+        self.lasts = Memo(self._last, remembered // 2)
+        self.pieces = Memo(self._piece, remembered)  # of what follows a cut
+
+    def _last(self, prefix: bytes) -> int:
+        """The unique last token of a prefix, the longest first."""
+        get, pairs, lasts = self.v.ranks.get, self.v.pairs, self.lasts
+        t = get(prefix)
+        if t is not None and self.v.stands[t]:
+            return t
+        for begin in range(1, len(prefix)):
+            t = get(prefix[begin:])
+            if t is not None and pairs[lasts[prefix[:begin]], t]:
+                return t
+        raise ValueError("the vocabulary lacks a single byte")
 
     def _word(self, word: bytes) -> list[int]:
         whole = self.v.ranks.get(word)
-        return [whole] if whole is not None else Prefixes(self.v, word).ids()
-
-    def _ids(self, text: str) -> list[int]:
-        return [i for m in self.match.findall(text) for i in self.words[m.encode("utf-8", "replace")]]
-
-    def _joined(self, text: str) -> str:
-        return ",".join(map(str, self._ids(text)))
+        if whole is not None:
+            return [whole]
+        if len(word) > _SHORT:
+            return Prefixes(self.v, word).ids()
+        out = []
+        while word:
+            out.append(t := self.lasts[word])
+            word = word[: -len(self.v.bytes_of[t])]
+        return out[::-1]
 
-    def joined(self, text: str) -> str:
-        """The ids of a text as decimal numbers joined by commas."""
+    def _coded(self, matches: list[str]) -> tuple[str, bytes]:
+        """The ids as decimal numbers joined by commas, and the bytes that they decode to."""
+        ids = [i for m in matches for i in self._word(m.encode("utf-8", "replace"))]
+        return ",".join(map(str, ids)), self.decode(ids)
+
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        plain = _LETTERS.fullmatch(piece)
+        if not plain:
+            return self._coded(self.match.findall(" " + piece))
+        if not plain[2]:
+            return self._coded([" " + piece])
+        (a, x), (b, y) = self.pieces[plain[1]], self._coded([plain[2]])
+        return f"{a},{b}", x + y
+
+    def coded(self, text: str) -> tuple[str, bytes]:
+        """The ids of a text as decimal numbers joined by commas, and the bytes that they decode to."""
         first, *rest = _CUT.split(text)
-        parts = list(map(self.chunks.__getitem__, rest))
-        return ",".join([self._joined(first), *parts] if first else parts)
+        parts = list(map(self.pieces.__getitem__, rest))
+        if first:
+            parts.insert(0, self._coded(self.match.findall(first)))
+        return ",".join([a for a, _ in parts]), b"".join([x for _, x in parts])
 
     def encode(self, text: str) -> list[int]:
-        ids = self.joined(text)
+        ids = self.coded(text)[0]
         return list(map(int, ids.split(","))) if ids else []
 
     def decode(self, ids: list[int]) -> bytes:
@@ -152,19 +187,17 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, ids: bool =
 
     def run(batches):
         encoder = Encoder(read_ranks(blob.value), pattern)
-        named = {str(i): t for i, t in encoder.v.bytes_of.items()}
         gc.collect()
         pa.default_memory_pool().release_unused()  # what the worker held for another stage
         for b in texts(batches, most=SLICE_BYTES // 4):
             count, joined, decoded, kept = [], [], [], []
             for t in b.column("text"):
-                all_ids = encoder.joined(t.as_py() or "")
-                each = all_ids.split(",") if all_ids else []
-                count.append(len(each))
+                all_ids, back = encoder.coded(t.as_py() or "")
+                count.append(n := all_ids.count(",") + 1 if all_ids else 0)
                 joined.append(hashlib.sha256(all_ids.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(named.__getitem__, each))).hexdigest())
+                decoded.append(hashlib.sha256(back).hexdigest())
                 if ids:
-                    kept.append(np.fromiter(map(int, each), np.int32, len(each)))
+                    kept.append(np.fromiter(map(int, all_ids.split(",") if n else []), np.int32, n))
             cols = [b.column("doc_id"), pa.array(count, pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.list_(pa.int32()))] * ids, names + ["ids"] * ids)
