@@ -32,9 +32,13 @@ def no_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.replace_pii(docs)
 
 
+#: Half of what op4_bpe remembers: the executor's memory is shared with what earlier stages have touched.
+REMEMBERED = bpe.REMEMBERED // 2
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document that is left."""
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True, remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", good_quality), ("near_duplicates", one_of_near_duplicates), ("decontamination", no_benchmark), ("pii", no_pii), ("tokens", token_ids)]

@@ -1,6 +1,8 @@
+import gc
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -93,3 +95,29 @@ def test_words_that_begin_alike_share_their_work(encoder, library):
     assert own.encode(t) == library.encode_ordinary(t)
     assert own.match.times == 2  # the texts' beginnings
     assert own.v.pairs.times <= 10 * before / 4
+
+
+def test_a_worker_keeps_no_encoder_after_its_task(docs, library, monkeypatch):
+    """Memos and encoder hold each other, so that only a collection frees them; Spark keeps the worker for other stages."""
+    d, tasks = docs([]), []
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, run, schema: tasks.append(run))
+    bpe.encode_documents(d, PATH, public_tokenizers.PATTERN, ids=True)
+    t = "some words, some thntiouonthhere words"
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([t])], ["doc_id", "text"])
+    alive = lambda: sum(type(x) is bpe.Encoder for x in gc.get_objects())
+    gc.collect()
+    before = alive()
+    gc.disable()
+    try:
+        for _ in range(2):
+            assert [x for b in tasks[0](iter([batch])) for x in b.column("ids").to_pylist()] == [library.encode_ordinary(t)]
+            assert alive() == before
+    finally:
+        gc.enable()
+
+
+def test_little_remembered_gives_the_same(encoder, library):
+    own = bpe.Encoder(encoder.v.ranks, public_tokenizers.PATTERN, remembered=8)
+    t = " ".join(f"thntiouonthhere{x}{y}, {y}{x}é" for x in "bcdfgklm" for y in "aeiou")
+    for _ in range(2):
+        assert own.encode(t) == library.encode_ordinary(t) and own.decode(own.encode(t)) == t.encode()

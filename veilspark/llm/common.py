@@ -64,6 +64,25 @@ def free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns to the system what this process has dropped, objects in cycles and Arrow's unused blocks, too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn, for workers that Spark keeps for other tasks and stages: gives memory back before a task begins and when it has ended."""
+
+    def run(batches):
+        give_back()
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def join_sized(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcasts the settled table `right` only if its counted rows are within the bound; else AQE deals the join, splitting hot keys."""
     n = right.count() if rows is None else rows
