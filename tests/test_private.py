@@ -1,8 +1,10 @@
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark import queries
 from veilspark.functions import noise, votes
 from veilspark.functions.keyhash import Settings, key_hash, mixed_units, signed
 from veilspark.operators.diff import summarise, utility_diff
@@ -129,6 +131,64 @@ def test_votes_of_nulls(spark):
     assert (r["a"], r["b"], r["n"], r["z"], r["s"]) == (False, False, 64, None, None)
 
 
+def _held_by_hand(name, value, worlds, settings, correction):
+    """The vote of a comparison, in Python."""
+    if value is None or not worlds:
+        return False
+    c = 1.0 if correction is None else correction
+    of = {"gt": value.__gt__, "gte": value.__ge__, "lt": value.__lt__, "lte": value.__le__, "eq": value.__eq__, "neq": value.__ne__}[name]
+    mask = sum(1 << j for j, w in enumerate(worlds[:64]) if w is not None and of(w))
+    held = mask.bit_count()
+    if settings.mi <= 0:
+        return held * c >= 32
+    if (span := math.floor(64 / c)) <= 0:
+        return True
+    text = f"{signed(settings.seed_used())}|{signed(settings.query_hash)}|{signed(mask)}"
+    return held > int(hashlib.md5(text.encode()).hexdigest()[:15], 16) % span
+
+
+@pytest.mark.parametrize("settings", [EXACT, Settings(seed=5)])
+def test_comparisons_by_hand(spark, settings):
+    some = [None if j % 3 == 0 else float(j % 7) for j in range(64)]
+    lists = [some, some + [9.0] * 40, [4.0] * 70, [4.0] * 20, [None] * 64, [], None, [float(j) for j in range(64)]]
+    rows = [(i, v, w, c) for i, (v, w, c) in enumerate((v, w, c) for v in (4.0, -1.0, 31.5, None) for w in lists for c in (None, 1.0, 1.5, 2.0, 100.0))]
+    df = spark.createDataFrame(rows, "i int, v double, w array<double>, c double")
+    got = df.select("i", *[votes.filter_compare(n, F.col("v"), F.col("w"), settings, F.col("c")).alias(n) for n in votes.COMPARISONS]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        _, v, w, c = rows[r["i"]]
+        for n in votes.COMPARISONS:
+            assert r[n] == _held_by_hand(n, v, w, settings, c), (n, v, w, c)
+
+
+@pytest.mark.parametrize("settings", [EXACT, Settings(seed=5)])
+def test_votes_make_their_list_once(spark, settings):
+    """A list that is made again for each of its worlds costs the square of their number."""
+    df = spark.sql("select 3.0D v, array(1.0D, null, 5.0D) w")
+    made = F.transform("w", lambda x: x + 12345.0)
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan(votes.select(F.transform("w", lambda x: x > 12345.0))).count("12345.0") == 1
+    for n in votes.COMPARISONS:
+        assert plan(votes.filter_compare(n, F.col("v"), made, settings, 1.5)).count("12345.0") == 1
+        assert plan(votes.filter_compare(n, F.col("v") + 12345.0, F.col("w"), settings, 1.5)).count("12345.0") == 1
+
+
+def test_comparisons_hash_a_key_once_and_deal_rows_over_tasks(spark, tmp_path):
+    keys = [None, *range(300)]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = queries.queries()["comparisons"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" in plan and "getbit(lambda" in plan and "getbit(cast" not in plan
+    assert df.rdd.getNumPartitions() >= 4  # one file of one row group
+    got = {r["c_custkey"]: r for r in df.collect()}
+    assert set(got) == set(keys)
+    for k, r in got.items():
+        bits = int(hashlib.md5(str(k).encode()).hexdigest()[:16], 16)
+        worlds = None if k is None else [float(k * (j + 1) % 97) if bits >> j & 1 else None for j in range(64)]
+        for n in votes.COMPARISONS:
+            assert r[n] == _held_by_hand(n, None if k is None else float(k % 97), worlds, EXACT, 1.5), (n, k)
+
+
 def test_noise_has_the_variance_asked_for(spark):
     w = F.array(*[F.lit(float(j % 8)) for j in range(64)])
     base = spark.range(1).select(w.alias("w"))

@@ -12,18 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions.keyhash import WORLDS, Settings
-from veilspark.functions.votes import _draw, drawn_bits, select
+from veilspark.functions.votes import _draw, _let, drawn_bits, select
 
 
 def world_mask(worlds: Column) -> Column:
     return select(F.transform(worlds, lambda w: w.isNotNull()))
 
 
-def _let(value: Column, body) -> Column:
-    """Binds a value in an expression, so that it isn't repeated."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _uniform(settings: Settings, mask: Column, draw: int) -> Column:
     """52 bits in (0, 1]."""
     return (drawn_bits(settings, F.concat(mask.cast("string"), F.lit(f"|{draw}")), 13).cast("double") + 1.0) / float(1 << 52)

@@ -21,12 +21,18 @@ def _draw(settings: Settings, mask: Column, n: Column) -> Column:
     return F.pmod(drawn_bits(settings, mask, 15), n)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Binds a value in an expression, so that it isn't repeated."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def select(bools: Column) -> Column:
-    """The mask of a boolean list: null elements don't hold, a null list gives null, elements after 64 don't count."""
-    at = F.sequence(F.lit(0), F.least(F.size(bools), F.lit(WORLDS)) - 1)
-    bits = F.transform(at, lambda j: F.when(F.coalesce(F.get(bools, j), F.lit(False)), F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
-    folded = F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    return F.when(bools.isNotNull(), F.when(F.size(bools) > 0, folded).otherwise(F.lit(0).cast("long")))
+    """The mask of a boolean list: null elements don't hold, a null list gives null, elements after 64 don't count.
+
+    The list stands in it once, outside of functions of elements, which would make it again for each of them.
+    """
+    bits = F.transform(F.slice(bools, 1, WORLDS), lambda x, j: F.when(F.coalesce(x, F.lit(False)), F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
 def filter_mask(mask: Column, settings: Settings = Settings(), correction: Column | float = 1.0) -> Column:
@@ -59,8 +65,16 @@ COMPARISONS: dict[str, Callable[[Column, Column], Column]] = {
 def filter_compare(name: str, value: Column, worlds: Column, settings: Settings = Settings(), correction: Column | float = 1.0) -> Column:
     """The vote of `value <comparison> world`; null worlds don't hold; a null value, null list or empty list is false."""
     compare = COMPARISONS[name]
-    mask = select(F.transform(worlds, lambda w: compare(value, w)))
-    return F.coalesce(F.when(value.isNotNull() & (F.size(worlds) > 0), filter_mask(mask, settings, correction)), F.lit(False))
+    c = correction if isinstance(correction, Column) else F.lit(float(correction))
+
+    def over(what: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+        return _let(worlds, lambda w: _let(value, lambda v: F.when(v.isNotNull() & (F.size(w) > 0), what(w, lambda x: compare(v, x)))))
+
+    if settings.mi <= 0:  # no draw, so no mask: only how many hold counts
+        held = over(lambda w, holds: F.size(F.filter(F.when(F.size(w) > WORLDS, F.slice(w, 1, WORLDS)).otherwise(w), holds)))
+        return F.coalesce(held * F.coalesce(c, F.lit(1.0)) >= WORLDS // 2, F.lit(False))
+    mask = over(lambda w, holds: select(F.transform(w, holds)))
+    return F.coalesce(_let(F.struct(mask.alias("m"), c.alias("c")), lambda s: F.when(s["m"].isNotNull(), filter_mask(s["m"], settings, s["c"]))), F.lit(False))
 
 
 def mask_and(a: Column, b: Column) -> Column:

@@ -106,8 +106,12 @@ def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 # scalar functions over worlds made of each customer's key hash
 def _worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = key_hash(F.col("c_custkey"))
-    w = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.when(F.call_function("getbit", k, j) == 1, F.pmod(F.col("c_custkey") * (j + 1), F.lit(97)).cast("double")))
-    return read_table(spark, f"{sf_dir}/customer.parquet").select("c_custkey", k.alias("k"), w.alias("w"))
+    # bound, so that a row's key is hashed once and not for each world
+    w = votes._let(k, lambda h: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.when(F.call_function("getbit", h, j) == 1, F.pmod(F.col("c_custkey") * (j + 1), F.lit(97)).cast("double"))))
+    # 64 worlds a row make much work of few bytes, by which Spark would make few tasks: the number is given
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = read_table(spark, f"{sf_dir}/customer.parquet").select("c_custkey").repartition(tasks, "c_custkey")
+    return keys.select("c_custkey", k.alias("k"), w.alias("w"))
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
